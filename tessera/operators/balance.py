@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import TWO_32, hash_key
 from tessera.operators.ordinal import rank_within
+from tessera.session import materialize
 from tessera.operators.prep import _bounded_collect
 
 _SLACK = 1e-6
@@ -47,7 +48,9 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
     if proj_dim is None:
         proj_dim = max_variance_dim(base, "_v")
     base = base.withColumn("_p", F.element_at("_v", proj_dim + 1))
-    ranked = rank_within(base, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n")
+    # referenced by four branches below: checkpoint once instead of
+    # re-running the range sort for each
+    ranked = materialize(rank_within(base, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n"))
 
     q = ranked
     if queries is not None:
@@ -99,7 +102,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                      F.col(label_col).alias("_c"))
-    ranked = rank_within(rows, ["_id"], ["_c"], rank_col="_rk", size_col="_nc")
+    ranked = materialize(rank_within(rows, ["_id"], ["_c"], rank_col="_rk", size_col="_nc"))
     sizes = ranked.select("_c", "_nc").distinct()
     # one row per class; the unpartitioned window runs over that table only
     sizes = (sizes.withColumn("_nmax", F.max("_nc").over(Window.partitionBy()))

@@ -24,10 +24,7 @@ def ml_frame(df: DataFrame, vec: str, idx: str) -> DataFrame:
         "label", F.col(idx).cast("double"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (shared folder)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from tessera.session import materialize  # noqa: E402,F401
 
 
 def logistic(n_train: int, max_iter: int = 1000) -> LogisticRegression:

@@ -8,5 +8,5 @@ from __future__ import annotations
 
 from tessera.plans.catalog.registry import QUERIES, ORACLE  # noqa: F401
 from tessera.plans.catalog import (  # noqa: F401
-    profile_queries, prep_queries, metric_queries, score_queries, fusion_queries, balance_queries, io_queries, stream_queries, model_queries,
+    profile_queries, prep_queries, metric_queries, score_queries, fusion_queries, balance_queries, io_queries, stream_queries, model_queries, media_queries,
 )

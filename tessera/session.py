@@ -73,3 +73,10 @@ def num_partitions(spark: SparkSession) -> int:
 
 
 os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared folder (used
+    where one intermediate feeds several branches or iterative solvers)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
