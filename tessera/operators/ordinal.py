@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import num_partitions
+from tessera.session import materialize, num_partitions
 
 _LOW33 = (1 << 33) - 1
 
@@ -37,12 +37,18 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     ``group_cols``).  ``order_cols`` should make the order total (end with a
     unique key) for a reproducible numbering; for quantiles ties do not
     matter.  ``size_col`` optionally adds the group size.
+
+    The range-partitioned, locally sorted table is checkpointed once: the
+    per-partition counts and the final numbering must see the very same
+    partitions, and a second range shuffle of an input whose row order is
+    not fixed (any shuffle output) could draw different range bounds.
     """
     group_cols = list(group_cols)
     n = partitions or num_partitions(df.sparkSession)
     keys = _as_cols(group_cols) + _as_cols(order_cols)
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(s)
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     stats = s.groupBy("_pid", *group_cols).agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_pid")
@@ -56,6 +62,8 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     cond = s["_pid"] == st["_spid"]
     for i, g in enumerate(group_cols):
         cond = cond & s[g].eqNullSafe(st[f"_g_{i}"])
+    # the count table has at most (#partitions + #groups) rows; AQE
+    # broadcasts it when its measured size is small
     out = s.join(st, cond, "inner")
     out = out.withColumn(rank_col, F.col("_off") + F.col("_loc") - F.col("_first"))
     drop = ["_mid", "_pid", "_loc", "_spid", "_first", "_off"] + [f"_g_{i}" for i in range(len(group_cols))]

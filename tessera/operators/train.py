@@ -36,7 +36,8 @@ def logistic(n_train: int, max_iter: int = 1000) -> LogisticRegression:
 
 def forest(num_trees: int = 100, max_depth: int = 12, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
-                                  seed=seed, maxBins=64)
+                                  seed=seed, maxBins=64, maxMemoryInMB=1024, cacheNodeIds=True,
+                                  checkpointInterval=10)
 
 
 def boosted(max_iter: int = 100, max_depth: int = 6, step: float = 0.3, seed: int = 42,

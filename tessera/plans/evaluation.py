@@ -9,7 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concurrent.futures import ThreadPoolExecutor
+
 from tessera.operators import balance as bl, prep, split as sp, train as tr
+from tessera.session import materialize
 
 
 @dataclass
@@ -28,6 +31,7 @@ def prepare(df: DataFrame, id_col: str, vec: str, label: str, balance: bool = Tr
     index = prep.label_index(df, label)
     s = df if split_col else sp.train_test_split(df, id_col)
     split_col = split_col or "split"
+    s = materialize(s)
     train = s.where(F.col(split_col) != F.lit(test_value))
     test = s.where(F.col(split_col) == F.lit(test_value))
     params = prep.array_scale_fit(train, vec)
@@ -62,13 +66,18 @@ def fit_score(name: str, p: Prepared, **kw):
 
 
 def compare_models(p: Prepared, specs: dict[str, dict]) -> DataFrame:
-    """One metrics row per model (driver loop of Spark fits over one
-    checkpointed training frame)."""
-    out = None
-    for name, kw in specs.items():
+    """One metrics row per model.  The fits read one checkpointed training
+    frame and are submitted concurrently (independent Spark jobs)."""
+    def run(item):
+        name, kw = item
         _, pred = fit_score(name, p, **kw)
-        m = tr.evaluate(pred, name)
-        out = m if out is None else out.unionByName(m)
+        return materialize(tr.evaluate(pred, name))
+
+    with ThreadPoolExecutor(max_workers=max(1, len(specs))) as pool:
+        parts = list(pool.map(run, specs.items()))
+    out = parts[0]
+    for m in parts[1:]:
+        out = out.unionByName(m)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import prep, split as sp
+from tessera.session import materialize
 
 
 def r6(c):
@@ -19,7 +20,8 @@ def prepared(tab: DataFrame, features, id_col="id", label="label", fit_on="train
     """The scaled, imputed, encoded feature table with its split column."""
     idx = prep.label_index(tab, label)
     s = sp.train_test_split(tab, id_col)
-    s = prep.label_encode(s, label, idx)
+    # two parameter fits read this table: split and encode it once
+    s = materialize(prep.label_encode(s, label, idx))
     fit_rows = s.where(F.col("split") == "train") if fit_on == "train" else s
     med = prep.impute_fit(fit_rows, features)
     s = prep.impute_transform(s, med, features)
