@@ -82,14 +82,17 @@ def linear_logits(z_cols) -> F.Column:
 
 
 def score_requests(req: DataFrame, scaler: dict) -> DataFrame:
-    """(id, result, pred_label) for every request."""
+    """(id, result, pred_label) for every request.  Staged projections keep
+    each intermediate (scaled features, logits, class) computed once."""
     v = validated(req)
-    z = [F.round((F.col(c) - F.lit(float(scaler[c][0]))) / F.lit(float(scaler[c][1])), 9) for c in REQUEST_FEATURES]
-    idx = argmax_index(linear_logits(z))
+    z = v.select("id", "err", *[F.round((F.col(c) - F.lit(float(scaler[c][0]))) / F.lit(float(scaler[c][1])), 9)
+                                .alias(f"_z{j}") for j, c in enumerate(REQUEST_FEATURES)])
+    lg = z.select("id", "err", linear_logits([F.col(f"_z{j}") for j in range(len(REQUEST_FEATURES))]).alias("_lg"))
     classes = F.array(*[F.lit(c) for c in CLASSES])
-    pred = F.when(F.col("err").isNull(), F.element_at(classes, idx + 1))
-    return v.select("id", F.coalesce(F.col("err"), F.concat(F.lit(RESULT_PREFIX), pred)).alias("result"),
-                    pred.alias("pred_label"))
+    pr = lg.select("id", "err", F.when(F.col("err").isNull(),
+                                       F.element_at(classes, argmax_index(F.col("_lg")) + 1)).alias("pred_label"))
+    return pr.select("id", F.coalesce(F.col("err"), F.concat(F.lit(RESULT_PREFIX), F.col("pred_label"))).alias("result"),
+                     "pred_label")
 
 
 def score_batch(req: DataFrame) -> DataFrame:

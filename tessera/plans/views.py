@@ -108,8 +108,10 @@ class Views:
         return self.spark.createDataFrame(EVENT_CLASS_MAP, "event_type string, label string")
 
     def v_req(self) -> DataFrame:
-        e = self.t("events")
-        k = F.get_json_object("props", "$.k").cast("int")
+        # parse props once, derive the request fields from the parsed value
+        e = self.t("events").select("event_id", "value",
+                                    F.get_json_object("props", "$.k").cast("int").alias("_k"))
+        k = F.col("_k")
         return e.select(
             F.col("event_id").alias("id"),
             F.when(F.col("event_id") % 17 == 0, F.lit("")).otherwise(
