@@ -15,13 +15,22 @@ from tessera.operators.ordinal import rank_within
 
 def train_test_split(df: DataFrame, id_col: str, test_size: float = 0.2, salt: str = "split",
                      split_col: str = "split") -> DataFrame:
-    """Not stratified; exactly ceil(test_size * n) rows (lowest hash ranks)
-    go to 'test'.  Ranks come from the distributed ordinal, not a
-    single-partition window."""
-    h = df.withColumn("_h", hash_key(F.col(id_col), salt))
-    r = rank_within(h, ["_h", id_col], [], rank_col="_r", size_col="_n")
-    is_test = F.col("_r") < F.ceil(F.lit(float(test_size)) * F.col("_n"))
-    return r.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_h", "_r", "_n")
+    """Not stratified; exactly ceil(test_size * n) rows (lowest (hash, id))
+    go to 'test'.
+
+    Only the narrow (hash, id) keys are ranked, to find the single cut
+    tuple; the split itself is then a row-wise comparison, so the wide
+    table is neither shuffled nor rewritten.
+    """
+    h = hash_key(F.col(id_col), salt)
+    keys = df.select(h.alias("_h"), F.col(id_col).alias("_id"))
+    r = rank_within(keys, ["_h", "_id"], [], rank_col="_r", size_col="_n")
+    cut = r.where(F.col("_r") == F.ceil(F.lit(float(test_size)) * F.col("_n")) - 1).select("_h", "_id").collect()
+    if not cut:
+        return df.withColumn(split_col, F.lit("train"))
+    th, tid = cut[0]["_h"], cut[0]["_id"]
+    is_test = (h < F.lit(th)) | ((h == F.lit(th)) & (F.col(id_col) <= F.lit(tid)))
+    return df.withColumn(split_col, F.when(is_test, "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, salt: str = "fold",
