@@ -66,7 +66,9 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
     radius = (cand.groupBy("_id")
               .agg(F.sort_array(F.collect_list(sq_dist(F.col("_v"), F.col("_v2")))).alias("_ds"))
               .select("_id", F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_rad2")))
-    qr = q.join(radius, "_id").withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12))
+    # one row per query: checkpointed so the band join below plans against
+    # a short lineage
+    qr = materialize(q.join(radius, "_id").withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12)))
 
     # 2) bucket width per class (one row per class)
     width = (qr.groupBy("_c").agg(F.greatest(F.avg("_rad"), F.max("_rad") / 64).alias("_w"))
@@ -128,7 +130,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
               .withColumn("_nr", F.when(F.col("_kc") > 0, F.col("_i") % F.col("_kc") + 1).otherwise(F.lit(0))))
     b = ranked.select(F.col("_c").alias("_cb"), F.col("_rk").alias("_rkb"), F.col("_id").alias("base_id"),
                       F.col("_v").alias("_bv"))
-    syn = syn.join(b, (syn["_c"] == b["_cb"]) & (syn["_brk"] == b["_rkb"]))
+    syn = materialize(syn.join(b, (syn["_c"] == b["_cb"]) & (syn["_brk"] == b["_rkb"])))
     nn = knn_within_class(rows, "_id", "_v", "_c", k, queries=syn.select("base_id"))
     nn = nn.select(F.col("id").alias("_qid"), F.col("nbr_rank").alias("_qr"), "nbr_id", "nbr_vec")
     syn = syn.join(nn, (syn["base_id"] == nn["_qid"]) & (syn["_nr"] == nn["_qr"]), "left")
