@@ -102,9 +102,25 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs) -> DataFra
     return agg.select(*group_cols, "p", q.alias("q"))
 
 
-def exact_quantile_table(df: DataFrame, group_cols, value_col: str, probs, names) -> DataFrame:
-    """Quantiles pivoted to one row per group, one column per name."""
-    q = exact_quantiles(df, group_cols, value_col, probs)
+def approx_quantiles(df: DataFrame, group_cols, value_col: str, probs, accuracy: int = 100_000) -> DataFrame:
+    """Sketch-based quantiles (relative rank error 1/accuracy): one
+    aggregation with map-side partial sketches, no sort of the data."""
+    v = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
+    q = v.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col).cast("double"),
+                                                       [float(p) for p in probs], accuracy).alias("_qs"))
+    return q.select(*group_cols, F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                         F.col("_qs").alias("q"))).alias("_z")).select(
+        *group_cols, "_z.p", "_z.q")
+
+
+def exact_quantile_table(df: DataFrame, group_cols, value_col: str, probs, names,
+                         method: str = "exact") -> DataFrame:
+    """Quantiles pivoted to one row per group, one column per name.
+    ``method='approx'`` trades exactness for a single aggregation pass."""
+    if method == "approx":
+        q = approx_quantiles(df, group_cols, value_col, probs)
+    else:
+        q = exact_quantiles(df, group_cols, value_col, probs)
     cols = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(nm)
             for p, nm in zip(probs, names)]
     return q.groupBy(*group_cols).agg(*cols)

@@ -24,12 +24,13 @@ def _bounded_collect(df: DataFrame, limit: int = MAX_PARAM_ROWS):
 
 
 # ---------------------------------------------------------------- imputer
-def impute_fit(df: DataFrame, cols) -> DataFrame:
-    """(feature, median, all_missing): exact interpolated median per
-    feature; a feature with no values keeps median 0 and is flagged."""
+def impute_fit(df: DataFrame, cols, method: str = "exact") -> DataFrame:
+    """(feature, median, all_missing): interpolated median per feature
+    (``method='approx'``: sketch median, one pass); a feature with no
+    values keeps median 0 and is flagged."""
     cols = list(cols)
     long = unpivot_numeric(df, [], cols)
-    med = exact_quantile_table(long, ["feature"], "value", [0.5], ["median"])
+    med = exact_quantile_table(long, ["feature"], "value", [0.5], ["median"], method)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     return (names.join(med, "feature", "left")
             .select("feature", F.coalesce("median", F.lit(0.0)).alias("median"),

@@ -88,15 +88,15 @@ def _long(df: DataFrame, features, label: str, id_col: str | None) -> DataFrame:
     return unpivot_numeric(df, ids, features).where(F.col("value").isNotNull())
 
 
-def _fences(long: DataFrame, label: str) -> DataFrame:
+def _fences(long: DataFrame, label: str, method: str = "exact") -> DataFrame:
     q = exact_quantile_table(long, ["feature", label], "value", [0.25, 0.5, 0.75],
-                             ["q1", "median", "q3"])
+                             ["q1", "median", "q3"], method)
     return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
              .withColumn("_lof", F.col("q1") - 1.5 * F.col("iqr"))
              .withColumn("_hif", F.col("q3") + 1.5 * F.col("iqr")))
 
 
-def boxplot_stats(df: DataFrame, features, label: str) -> DataFrame:
+def boxplot_stats(df: DataFrame, features, label: str, method: str = "exact") -> DataFrame:
     """Per feature x class: quartiles, 1.5 IQR whiskers at the last datum
     inside the fences (never inside the box), outlier count.
 
@@ -105,7 +105,7 @@ def boxplot_stats(df: DataFrame, features, label: str) -> DataFrame:
     with the (features x classes)-row quartile table.
     """
     long = _long(df, features, label, None)
-    q = _fences(long, label)
+    q = _fences(long, label, method)
     v = F.col("value")
     j = long.join(q, ["feature", label])
     return j.groupBy("feature", label, "q1", "median", "q3", "iqr").agg(
@@ -127,7 +127,8 @@ def boxplot_outliers(df: DataFrame, features, label: str, id_col: str) -> DataFr
             .select("feature", label, id_col, "value"))
 
 
-def column_medians(df: DataFrame, cols) -> DataFrame:
-    """Exact interpolated median per column, NULL/NaN skipped: (feature, median)."""
+def column_medians(df: DataFrame, cols, method: str = "exact") -> DataFrame:
+    """Interpolated median per column, NULL/NaN skipped: (feature, median).
+    ``method='approx'`` uses one sketch aggregation instead of a sort."""
     long = unpivot_numeric(df, [], cols)
-    return exact_quantile_table(long, ["feature"], "value", [0.5], ["median"])
+    return exact_quantile_table(long, ["feature"], "value", [0.5], ["median"], method)

@@ -112,3 +112,11 @@ def test_label_encode_unknown_raises(spark):
     df = spark.createDataFrame([("b",)], "label string")
     with pytest.raises(Exception):
         prep.label_encode(df, "label", idx).collect()
+
+
+def test_approx_quantiles_close(spark):
+    from tessera.operators.profile import column_medians
+    df = spark.range(0, 5000).withColumn("x", F.col("id") * 1.0)
+    ex = column_medians(df, ["x"]).first().median
+    ap = column_medians(df, ["x"], method="approx").first().median
+    assert ex == 2499.5 and abs(ap - ex) <= 1.0

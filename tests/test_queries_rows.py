@@ -33,3 +33,13 @@ def test_image_features_decoded(spark):
     ok = f.where("decode_ok")
     assert ok.count() == f.count() - 1
     assert ok.where(F.size("features") != 1024).count() == 0
+
+
+def test_multimodal_feature_table(spark):
+    df = E.queries()["multimodal_features"](spark, SF_SMALL)
+    rows = df.select("id", "ordinal", "split", F.size("vec").alias("w")).collect()
+    assert len(rows) == 15                      # shortest source (signals)
+    assert {r.w for r in rows} == {5 + 13 + 1024}
+    by_ord = sorted(rows, key=lambda r: r.ordinal)
+    assert [r.id for r in by_ord] == sorted(r.id for r in rows)   # CSV file order
+    assert sum(r.split == "test" for r in rows) == 3              # ceil(0.2 * 15)
