@@ -33,6 +33,7 @@ def get_session(master: str | None = None, app: str = "tessera",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,34 @@ def materialize(df):
     where one intermediate feeds several branches or iterative solvers)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``tessera`` importable in executor Python workers (Arrow UDFs
+    reference its modules): zip the package once per application into the
+    shared folder and ``addPyFile`` it, as ``--py-files`` would."""
+    import io
+    import zipfile
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    from tessera.functions.media import write_bytes
+    target = f"{shared_dir(spark).rstrip('/')}/tessera-pkg/tessera-{uuid.uuid4().hex[:8]}.zip"
+    write_bytes(target, buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
