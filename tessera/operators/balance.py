@@ -48,13 +48,25 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
     if proj_dim is None:
         proj_dim = max_variance_dim(base, "_v")
     base = base.withColumn("_p", F.element_at("_v", proj_dim + 1))
-    # referenced by four branches below: checkpoint once instead of
-    # re-running the range sort for each
-    ranked = materialize(rank_within(base, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n"))
-
-    q = ranked
-    if queries is not None:
-        q = ranked.join(queries.select(F.col(queries.columns[0]).alias("_id")).distinct(), "_id", "left_semi")
+    # Copies: at equal distance ties go to the smaller id, so only the k+1
+    # smallest ids of each (class, vector) can be anyone's neighbour.  The
+    # row_number filter runs as a per-partition WindowGroupLimit before the
+    # shuffle, so a huge group of copies never gathers in one task.
+    dup = Window.partitionBy("_c", "_v").orderBy("_id")
+    cand = base.withColumn("_dr", F.row_number().over(dup)).where(F.col("_dr") <= k + 1)
+    ranked = materialize(rank_within(cand, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n"))
+
+    qsel = base if queries is None else base.join(
+        queries.select(F.col(queries.columns[0]).alias("_id")).distinct(), "_id", "left_semi")
+    # deeper copies: their k nearest are the first k ids of their own group
+    deep = qsel.join(ranked.select("_id"), "_id", "left_anti")
+    firsts = ranked.where(F.col("_dr") <= k).select(
+        F.col("_c").alias("_fc"), F.col("_v").alias("_fv"), F.col("_id").alias("nbr_id"),
+        F.col("_dr").cast("int").alias("nbr_rank"))
+    deep_nn = deep.join(firsts, (deep["_c"] == firsts["_fc"]) & (deep["_v"] == firsts["_fv"])).select(
+        F.col("_id").alias("id"), "nbr_rank", "nbr_id", F.col("_v").alias("nbr_vec"), F.lit(0.0).alias("dist2"))
+
+    q = ranked if queries is None else ranked.join(qsel.select("_id"), "_id", "left_semi")
 
     # 1) seed radius from the k rank-neighbours on each side
     offs = F.explode(F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0]))
@@ -87,7 +99,8 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
              .where(F.col("dist2") <= F.col("_rad2")))
     w = Window.partitionBy("_id").orderBy("dist2", "nbr_id")
     top = pairs.withColumn("nbr_rank", F.row_number().over(w)).where(F.col("nbr_rank") <= k)
-    return top.select(F.col("_id").alias("id"), "nbr_rank", "nbr_id", "nbr_vec", "dist2")
+    top = top.select(F.col("_id").alias("id"), "nbr_rank", "nbr_id", "nbr_vec", "dist2")
+    return top.unionByName(deep_nn)
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, strict: bool = False,

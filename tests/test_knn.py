@@ -46,3 +46,21 @@ def test_knn_restricted_queries(spark):
     got = bl.knn_within_class(df, "id", "vec", "label", 3, queries=q)
     assert sorted({r.id for r in got.collect()}) == [3, 40]
     assert got.where(F.col("nbr_rank") > 3).count() == 0
+
+
+def test_knn_group_of_copies(spark):
+    # a third of all rows are copies of one point: exact answer, and the
+    # candidate side keeps at most k+1 copies
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        if i % 3 == 0:
+            rows.append((i, [1.0, 2.0, 3.0], "a"))
+        else:
+            rows.append((i, [float(rnd.randint(0, 4)), float(rnd.randint(0, 4)), 3.0], "a" if i % 2 else "b"))
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    got = {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5).orderBy("id", "nbr_rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+    exp = _brute(rows, 5)
+    assert got == {k: v for k, v in exp.items() if v}
