@@ -31,9 +31,10 @@ _TAB_ARR_SQL = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in TF) + "]"
 
 
 def aligned(spark, sf):
+    """v_tab x v_img x (first AUDIO_WIDTH points of) v_sig by position."""
     v = Views(spark, sf)
     return fu.align_by_position({"tab": (v.v_tab(), ["id"]), "img": (v.v_img(), ["id"]),
-                                 "sig": (v.v_sig(), ["id"])})
+                                 "sig": (v.v_sig_head(AUDIO_WIDTH), ["id"])})
 
 
 def _tab_arr():

@@ -67,6 +67,16 @@ class Views:
                 .select(F.col("user_id").alias("id"),
                         F.transform("pts", lambda p: p["value"]).alias("sig")))
 
+    def v_sig_head(self, n: int) -> DataFrame:
+        """First ``n`` points of each v_sig signal.  The row_number filter is
+        applied per partition before the shuffle (WindowGroupLimit), so a
+        user with a huge history never gathers in one task."""
+        e = self.t("events")
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        h = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+        return (h.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_rn", "value"))).alias("pts"))
+                .select(F.col("user_id").alias("id"), F.transform("pts", lambda p: p["value"]).alias("sig")))
+
     def v_cls(self) -> DataFrame:
         d = self.t("documents")
         lab = self.t("labels")
