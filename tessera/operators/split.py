@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_key
+from tessera.operators.joins import broadcast_checked
 from tessera.operators.ordinal import rank_within
 
 
@@ -66,6 +67,6 @@ def first_n_per_group(df: DataFrame, group: str, order_cols, n: int, rank_col: s
 
 
 def remap_categories(df: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
-    """Inner join to a category map; unmapped rows drop out.  The map is a
-    fixed-size dimension table (one row per source category)."""
-    return df.join(F.broadcast(mapping), key, "inner")
+    """Inner join to a category map; unmapped rows drop out.  The map (one
+    row per source category) is broadcast after its size is checked."""
+    return df.join(broadcast_checked(mapping), key, "inner")
