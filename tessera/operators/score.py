@@ -81,20 +81,22 @@ def linear_logits(z_cols) -> F.Column:
     return F.array(*logits)
 
 
-def score_requests(req: DataFrame, scaler: dict) -> DataFrame:
-    """(id, result, pred_label) for every request.  Staged projections keep
-    each intermediate (scaled features, logits, class) computed once."""
+def score_requests(req: DataFrame, scaler: dict, keep=()) -> DataFrame:
+    """(id, result, pred_label, *keep) for every request.  Staged
+    projections keep each intermediate (scaled features, logits, class)
+    computed once."""
+    keep = list(keep)
     v = validated(req)
-    z = v.select("id", "err", *[F.round((F.col(c) - F.lit(float(scaler[c][0]))) / F.lit(float(scaler[c][1])), 9)
+    z = v.select("id", "err", *keep, *[F.round((F.col(c) - F.lit(float(scaler[c][0]))) / F.lit(float(scaler[c][1])), 9)
                                 .alias(f"_z{j}") for j, c in enumerate(REQUEST_FEATURES)])
-    lg = z.select("id", "err", linear_logits([F.col(f"_z{j}") for j in range(len(REQUEST_FEATURES))]).alias("_lg"))
+    lg = z.select("id", "err", *keep, linear_logits([F.col(f"_z{j}") for j in range(len(REQUEST_FEATURES))]).alias("_lg"))
     classes = F.array(*[F.lit(c) for c in CLASSES])
-    pr = lg.select("id", "err", F.when(F.col("err").isNull(),
+    pr = lg.select("id", "err", *keep, F.when(F.col("err").isNull(),
                                        F.element_at(classes, argmax_index(F.col("_lg")) + 1)).alias("pred_label"))
     return pr.select("id", F.coalesce(F.col("err"), F.concat(F.lit(RESULT_PREFIX), F.col("pred_label"))).alias("result"),
-                     "pred_label")
+                     "pred_label", *keep)
 
 
-def score_batch(req: DataFrame) -> DataFrame:
+def score_batch(req: DataFrame, keep=()) -> DataFrame:
     scaler = fit_request_scaler(validated(req).where(F.col("err").isNull()))
-    return score_requests(req, scaler)
+    return score_requests(req, scaler, keep)

@@ -80,8 +80,7 @@ def q_score_linear(spark, sf):
 def _scored_events(spark, sf):
     """Scored requests beside their event type (the 'true folder')."""
     v = Views(spark, sf)
-    s = sc.score_batch(v.v_req()).where(F.col("pred_label").isNotNull())
-    return s.join(v.t("events").select(F.col("event_id").alias("id"), "event_type"), "id")
+    return sc.score_batch(v.v_req(keep=("event_type",)), keep=("event_type",)).where(F.col("pred_label").isNotNull())
 
 
 _DIST_CTES = f"""WITH {SCORE_CTES},

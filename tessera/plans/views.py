@@ -117,12 +117,13 @@ class Views:
     def v_emap(self) -> DataFrame:
         return self.spark.createDataFrame(EVENT_CLASS_MAP, "event_type string, label string")
 
-    def v_req(self) -> DataFrame:
+    def v_req(self, keep=()) -> DataFrame:
+        """Scoring requests; ``keep`` passes event columns through."""
         # parse props once, derive the request fields from the parsed value
-        e = self.t("events").select("event_id", "value",
+        e = self.t("events").select("event_id", "value", *keep,
                                     F.get_json_object("props", "$.k").cast("int").alias("_k"))
         k = F.col("_k")
-        return e.select(
+        return e.select(*keep,
             F.col("event_id").alias("id"),
             F.when(F.col("event_id") % 17 == 0, F.lit("")).otherwise(
                 F.concat(F.lit("a/"), F.col("event_id").cast("string"))).alias("audio_path"),
