@@ -86,14 +86,20 @@ def cross_validate(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5,
     """Stratified k-fold; scaler and SMOTE are fitted on the training folds
     only; score = accuracy on the held-out fold.  (fold, n, accuracy)."""
     folds = tr.materialize(sp.stratified_folds(df, id_col, label, k))
-    out = None
-    for i in range(k):
+
+    def one(i):
         f = folds.withColumn("_part", F.when(F.col("fold") == i, "test").otherwise("train"))
         p = prepare(f, id_col, vec, label, split_col="_part")
         _, pred = fit_score(model, p, **kw)
-        acc = pred.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n"),
-                       F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
-        out = acc if out is None else out.unionByName(acc)
+        return materialize(pred.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n"),
+                                    F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy")))
+
+    # folds are independent: submit their Spark jobs concurrently
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
     return out
 
 
