@@ -70,17 +70,19 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
 
     # 1) seed radius from the k rank-neighbours on each side
     offs = F.explode(F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0]))
-    seed = (q.select("_id", "_c", "_r", "_n", "_v", offs.alias("_o"))
+    seed = (q.select("_id", "_c", "_p", "_r", "_n", "_v", offs.alias("_o"))
             .withColumn("_t", F.col("_r") + F.col("_o"))
             .where((F.col("_t") >= 0) & (F.col("_t") < F.col("_n"))))
     other = ranked.select(F.col("_c").alias("_c2"), F.col("_r").alias("_t2"), F.col("_v").alias("_v2"))
     cand = seed.join(other, (seed["_c"] == other["_c2"]) & (seed["_t"] == other["_t2"]))
-    radius = (cand.groupBy("_id")
-              .agg(F.sort_array(F.collect_list(sq_dist(F.col("_v"), F.col("_v2")))).alias("_ds"))
-              .select("_id", F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_rad2")))
+    # grouping by the query's own columns avoids joining the radius back
+    radius = (cand.groupBy("_id", "_c", "_p")
+              .agg(F.first("_v").alias("_v"),
+                   F.sort_array(F.collect_list(sq_dist(F.col("_v"), F.col("_v2")))).alias("_ds"))
+              .select("_id", "_c", "_p", "_v", F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_rad2")))
     # one row per query: checkpointed so the band join below plans against
     # a short lineage
-    qr = materialize(q.join(radius, "_id").withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12)))
+    qr = materialize(radius.withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12)))
 
     # 2) bucket width per class (one row per class)
     width = (qr.groupBy("_c").agg(F.greatest(F.avg("_rad"), F.max("_rad") / 64).alias("_w"))
