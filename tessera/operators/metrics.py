@@ -80,3 +80,21 @@ def label_universe(df: DataFrame, true: str = "y_true", pred: str = "y_pred", by
 def argmax_index(arr) -> F.Column:
     """0-based position of the first maximum (ties: first index)."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+
+def log_softmax(logits) -> F.Column:
+    """Numerically stable log-softmax of an array column (max-shifted)."""
+    m = F.array_max(logits)
+    lse = F.log(F.aggregate(F.transform(logits, lambda z: F.exp(z - m)), F.lit(0.0), lambda a, b: a + b)) + m
+    return F.transform(logits, lambda z: z - lse)
+
+
+def cross_entropy(df: DataFrame, target_idx: str, probs: str | None = None, logits: str | None = None,
+                  eps: float = 1e-12, by=()) -> DataFrame:
+    """Mean cross-entropy -log p(target), from probabilities (floored at
+    ``eps``) or from logits (log-softmax): (by.., n, loss)."""
+    if logits is not None:
+        lp = F.element_at(log_softmax(F.col(logits)), F.col(target_idx) + 1)
+    else:
+        lp = F.ln(F.greatest(F.element_at(F.col(probs), F.col(target_idx) + 1), F.lit(eps)))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(-lp).alias("loss"))

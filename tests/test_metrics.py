@@ -1,6 +1,7 @@
 """Hand-computed metric corners: a class never predicted, a class only predicted."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt
 
@@ -31,3 +32,19 @@ def test_report_rows(preds):
 
 def test_label_universe(preds):
     assert sorted(r.label for r in mt.label_universe(preds).collect()) == ["a", "b", "c", "d"]
+
+
+def test_cross_entropy_logits_and_probs(spark):
+    import math
+    rows = [(0, [2.0, 1.0, 0.1]), (2, [0.5, 0.5, 3.0])]
+    df = spark.createDataFrame(rows, "t int, z array<double>")
+    exp = 0.0
+    for t, z in rows:
+        m = max(z)
+        lse = math.log(sum(math.exp(v - m) for v in z)) + m
+        exp += -(z[t] - lse)
+    got = mt.cross_entropy(df, "t", logits="z").first()
+    assert got.n == 2 and got.loss == pytest.approx(exp / 2)
+    probs = df.select("t", F.transform("z", lambda v: F.exp(v)).alias("e")).select(
+        "t", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    assert mt.cross_entropy(probs, "t", probs="p").first().loss == pytest.approx(exp / 2)
