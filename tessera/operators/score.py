@@ -100,3 +100,27 @@ def score_requests(req: DataFrame, scaler: dict, keep=()) -> DataFrame:
 def score_batch(req: DataFrame, keep=()) -> DataFrame:
     scaler = fit_request_scaler(validated(req).where(F.col("err").isNull()))
     return score_requests(req, scaler, keep)
+
+
+def external_model_scores(df: DataFrame, make_predict, vec: str, widths, batch_size: int = 256,
+                          out: str = "scores") -> DataFrame:
+    """Scores from a caller-supplied model over the modality parts of a fused
+    vector (e.g. forward(tab, aud, img)).  ``make_predict`` runs once per
+    Python worker and returns ``predict(*parts) -> (batch, classes)``; rows
+    reach it in Arrow batches of ``batch_size`` (``predict_batch_udf``)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    from tessera.functions.arrays import slice_modalities
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)
+    parts = slice_modalities(F.col(vec).cast("array<float>"), list(widths))
+    udf = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=[[w] for w in widths])
+    return df.withColumn(out, udf(*parts))
+
+
+def decode_argmax(df: DataFrame, scores: str, classes=CLASSES, out: str = "pred_label") -> DataFrame:
+    arr = F.array(*[F.lit(c) for c in classes])
+    return df.withColumn(out, F.element_at(arr, argmax_index(F.col(scores)) + 1))

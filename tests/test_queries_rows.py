@@ -43,3 +43,22 @@ def test_multimodal_feature_table(spark):
     by_ord = sorted(rows, key=lambda r: r.ordinal)
     assert [r.id for r in by_ord] == sorted(r.id for r in rows)   # CSV file order
     assert sum(r.split == "test" for r in rows) == 3              # ceil(0.2 * 15)
+
+
+def _three_branch():
+    import numpy as np
+    w_t, w_a, w_i = (np.full((n, 4), s, np.float32) for n, s in ((2, 1.0), (3, -1.0), (4, 0.5)))
+
+    def predict(tab, aud, img):
+        return tab @ w_t + aud @ w_a + img @ w_i
+    return predict
+
+
+def test_external_model_scores(spark):
+    from tessera.operators import score as sc
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (2, [0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    out = sc.decode_argmax(sc.external_model_scores(df, _three_branch, "vec", [2, 3, 4]), "scores")
+    got = {r.id: (list(r.scores), r.pred_label) for r in out.collect()}
+    assert got[1][0] == [1.0, 1.0, 1.0, 1.0] and got[1][1] == "Healthy"
+    assert got[2][0] == [-3.0, -3.0, -3.0, -3.0]
