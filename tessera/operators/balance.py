@@ -54,10 +54,14 @@ def _dot(v: Column, u: list[float]) -> Column:
 
 
 def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
-                     queries: DataFrame | None = None, axes: list[list[float]] | None = None) -> DataFrame:
+                     queries: DataFrame | None = None, axes: list[list[float]] | None = None,
+                     cell_target: int = 20_000) -> DataFrame:
     """Exact k nearest same-class neighbours of each query row (self
     excluded, ties by neighbour id): (id, nbr_rank, nbr_id, nbr_vec, dist2).
-    ``queries``: optional frame of ids to restrict the left side."""
+    ``queries``: optional frame of ids to restrict the left side.
+    ``cell_target``: a grid cell holding more candidate rows is split into
+    hash salts of about this size (queries are replicated over the salts),
+    so a dense cell's pair work is spread over many tasks."""
     base = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                      F.col(label_col).alias("_c"))
     if axes is None:
@@ -119,9 +123,19 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
                   F.col("_id").alias("nbr_id"), F.col("_v").alias("nbr_vec"), F.col("_p").alias("_py"),
                   F.col("_p2").alias("_py2")))
 
-    # 3) exact band join, then the k smallest per query
+    # 3) salt dense cells, exact band join, then the k smallest per query
+    salts = (yb.groupBy("_cy", "_by", "_by2").agg(F.count(F.lit(1)).alias("_cnt"))
+             .select(F.col("_cy").alias("_sc"), F.col("_by").alias("_sb"), F.col("_by2").alias("_sb2"),
+                     F.ceil(F.col("_cnt") / F.lit(float(cell_target))).cast("int").alias("_ns")))
+    yb = (yb.join(salts, (yb["_cy"] == salts["_sc"]) & (yb["_by"] == salts["_sb"]) & (yb["_by2"] == salts["_sb2"]))
+          .withColumn("_salt", F.pmod(F.xxhash64("nbr_id"), F.col("_ns")).cast("int"))
+          .drop("_sc", "_sb", "_sb2", "_ns"))
+    qb = (qb.join(salts, (qb["_c"] == salts["_sc"]) & (qb["_b"] == salts["_sb"]) & (qb["_b2"] == salts["_sb2"]))
+          .withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)))
+          .drop("_sc", "_sb", "_sb2", "_ns"))
     d1, d2 = F.col("_py") - F.col("_p"), F.col("_py2") - F.col("_p2")
-    pairs = (qb.join(yb, (qb["_c"] == yb["_cy"]) & (qb["_b"] == yb["_by"]) & (qb["_b2"] == yb["_by2"]))
+    pairs = (qb.join(yb, (qb["_c"] == yb["_cy"]) & (qb["_b"] == yb["_by"]) & (qb["_b2"] == yb["_by2"])
+                     & (qb["_qsalt"] == yb["_salt"]))
              .where((F.col("nbr_id") != F.col("_id")) & (d1 * d1 + d2 * d2 <= F.col("_rad") * F.col("_rad"))))
     if _DEBUG is not None:
         _DEBUG["band_pairs"] = pairs

@@ -64,3 +64,14 @@ def test_knn_group_of_copies(spark):
         got.setdefault(r.id, []).append(r.nbr_id)
     exp = _brute(rows, 5)
     assert got == {k: v for k, v in exp.items() if v}
+
+
+def test_knn_salted_cells_exact(spark):
+    # force salting of every cell: results must not change
+    rnd = random.Random(11)
+    rows = [(i, [rnd.random() for _ in range(6)], "a" if i % 4 else "b") for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    got = {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=7).orderBy("id", "nbr_rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+    assert got == _brute(rows, 5)
