@@ -70,15 +70,32 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     return out.drop(*drop)
 
 
-def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs) -> DataFrame:
+SMALL_GROUP_ROWS = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs,
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Exact linear-interpolated quantiles (as ``percentile`` / numpy
     'linear') per group: one row per (group, p) with column ``q``.
 
-    Only rows at the two ranks bracketing each target position survive the
-    join, so no group is ever gathered in one place.
+    When the largest group has at most ``small_group_rows`` values (one
+    count aggregation decides), the built-in ``percentile`` aggregate is
+    used: its per-group buffer is then bounded.  Otherwise the distributed
+    path runs: only rows at the two ranks bracketing each target position
+    survive a join against the ranked values, so no group is ever gathered
+    in one place.
     """
     group_cols = list(group_cols)
     v = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
+    largest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    if largest is None:
+        sch = v.select(*group_cols).schema
+        return v.sparkSession.createDataFrame([], sch.add("p", "double").add("q", "double"))
+    if largest <= small_group_rows:
+        plist = [float(p) for p in probs]
+        agg = v.groupBy(*group_cols).agg(F.percentile(F.col(value_col).cast("double"), plist).alias("_qs"))
+        z = F.arrays_zip(F.array(*[F.lit(p) for p in plist]).alias("p"), F.col("_qs").alias("q"))
+        return agg.select(*group_cols, F.explode(z).alias("_z")).select(*group_cols, "_z.p", "_z.q")
     ranked = rank_within(v.select(*group_cols, value_col), [value_col], group_cols,
                          rank_col="_r", size_col="_n")
     targets = (ranked.select(*group_cols, "_n").distinct()

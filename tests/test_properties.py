@@ -120,3 +120,11 @@ def test_approx_quantiles_close(spark):
     ex = column_medians(df, ["x"]).first().median
     ap = column_medians(df, ["x"], method="approx").first().median
     assert ex == 2499.5 and abs(ap - ex) <= 1.0
+
+
+def test_exact_quantiles_both_paths_agree(spark):
+    df = spark.range(0, 3001).withColumn("g", (F.col("id") % 4).cast("int")).withColumn("v", F.cos("id") * 7)
+    a = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75]).collect()}
+    b = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75], small_group_rows=10).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[key] - b[key]) < 1e-9 for key in a)
