@@ -55,7 +55,7 @@ def _dot(v: Column, u: list[float]) -> Column:
 
 def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
                      queries: DataFrame | None = None, axes: list[list[float]] | None = None,
-                     cell_target: int = 20_000) -> DataFrame:
+                     cell_target: int = 20_000, checkpoint_input: bool = True) -> DataFrame:
     """Exact k nearest same-class neighbours of each query row (self
     excluded, ties by neighbour id): (id, nbr_rank, nbr_id, nbr_vec, dist2).
     ``queries``: optional frame of ids to restrict the left side.
@@ -64,6 +64,9 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
     so a dense cell's pair work is spread over many tasks."""
     base = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                      F.col(label_col).alias("_c"))
+    if checkpoint_input:
+        # several passes read the input (axes, copies, ranks): compute it once
+        base = materialize(base)
     if axes is None:
         axes = principal_axes(base, "_v", 2)
     # coordinates on orthonormal axes: |P(x - y)| <= |x - y|
@@ -160,8 +163,8 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     ``strict``.  Returns (label, src, seq, base_id, nbr_id, vec) with
     src in {'orig', 'synth'}; seq is the row id or s.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
-                     F.col(label_col).alias("_c"))
+    rows = materialize(df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
+                                 F.col(label_col).alias("_c")))
     ranked = materialize(rank_within(rows, ["_id"], ["_c"], rank_col="_rk", size_col="_nc"))
     sizes = ranked.select("_c", "_nc").distinct()
     # one row per class; the unpartitioned window runs over that table only
@@ -189,7 +192,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     b = ranked.select(F.col("_c").alias("_cb"), F.col("_rk").alias("_rkb"), F.col("_id").alias("base_id"),
                       F.col("_v").alias("_bv"))
     syn = materialize(syn.join(b, (syn["_c"] == b["_cb"]) & (syn["_brk"] == b["_rkb"])))
-    nn = knn_within_class(rows, "_id", "_v", "_c", k, queries=syn.select("base_id"))
+    nn = knn_within_class(rows, "_id", "_v", "_c", k, queries=syn.select("base_id"), checkpoint_input=False)
     nn = nn.select(F.col("id").alias("_qid"), F.col("nbr_rank").alias("_qr"), "nbr_id", "nbr_vec")
     syn = syn.join(nn, (syn["base_id"] == nn["_qid"]) & (syn["_nr"] == nn["_qr"]), "left")
     nv = F.coalesce(F.col("nbr_vec"), F.col("_bv"))
