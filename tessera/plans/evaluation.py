@@ -28,10 +28,12 @@ def prepare(df: DataFrame, id_col: str, vec: str, label: str, balance: bool = Tr
             split_col: str | None = None, test_value="test") -> Prepared:
     """Hash split (or a given split column), scaler fitted on training rows,
     SMOTE on the scaled training rows only."""
+    # label index, split keys and split table all read the input
+    df = materialize(df)
     index = prep.label_index(df, label)
     s = df if split_col else sp.train_test_split(df, id_col)
     split_col = split_col or "split"
-    s = materialize(s)
+    s = materialize(s) if s is not df else s
     train = s.where(F.col(split_col) != F.lit(test_value))
     test = s.where(F.col(split_col) == F.lit(test_value))
     params = prep.array_scale_fit(train, vec)
