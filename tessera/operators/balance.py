@@ -25,7 +25,6 @@ from tessera.session import materialize
 from tessera.operators.prep import _bounded_collect
 
 _SLACK = 1e-6
-_DEBUG: dict | None = None   # tests/benchmarks may capture intermediate frames
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -140,9 +139,6 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
     pairs = (qb.join(yb, (qb["_c"] == yb["_cy"]) & (qb["_b"] == yb["_by"]) & (qb["_b2"] == yb["_by2"])
                      & (qb["_qsalt"] == yb["_salt"]))
              .where((F.col("nbr_id") != F.col("_id")) & (d1 * d1 + d2 * d2 <= F.col("_rad") * F.col("_rad"))))
-    if _DEBUG is not None:
-        _DEBUG["band_pairs"] = pairs
-        _DEBUG["radius"] = qr
     pairs = (pairs.withColumn("dist2", sq_dist(F.col("_v"), F.col("nbr_vec")))
              .where(F.col("dist2") <= F.col("_rad2")))
     w = Window.partitionBy("_id").orderBy("dist2", "nbr_id")
