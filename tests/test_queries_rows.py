@@ -62,3 +62,9 @@ def test_external_model_scores(spark):
     got = {r.id: (list(r.scores), r.pred_label) for r in out.collect()}
     assert got[1][0] == [1.0, 1.0, 1.0, 1.0] and got[1][1] == "Healthy"
     assert got[2][0] == [-3.0, -3.0, -3.0, -3.0]
+
+
+def test_embed_image_files(spark):
+    rows = E.queries()["embed_image_files"](spark, SF_SMALL).collect()
+    assert len(rows) == 500 and all(len(r.embedding) == 16 for r in rows)
+    assert sum(1 for r in rows if any(v != 0 for v in r.embedding)) > 400
