@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt
 from tessera.operators.prep import _bounded_collect
-from tessera.session import shared_dir
 
 
 def ml_frame(df: DataFrame, vec: str, idx: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import arrays as ar
-from tessera.operators import fusion as fu, prep, train as tr
+from tessera.operators import prep, train as tr
 from tessera.plans import evaluation as ev
 from tessera.plans.catalog.fusion_queries import AUDIO_WIDTH, aligned
 from tessera.plans.catalog.registry import query, r6
