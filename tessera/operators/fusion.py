@@ -33,3 +33,36 @@ def align_by_position(sources: dict[str, tuple[DataFrame, list]], col: str = "or
 
 def head_n(df: DataFrame, order_cols, n: int, col: str = "ordinal") -> DataFrame:
     return with_ordinal(df, order_cols, col).where(F.col(col) < n)
+
+
+class Layout:
+    """A named order of modality parts in a fused vector, e.g.
+    ``Layout([("tab", 21), ("aud", 13), ("img", None)])``; the last width
+    may be ``None`` (the rest).  ``fuse`` concatenates array columns in this
+    order; ``parts`` cuts a fused vector back into named parts."""
+
+    def __init__(self, parts):
+        self.parts = [(name, width) for name, width in parts]
+        if any(w is None for _, w in self.parts[:-1]):
+            raise ValueError("only the last part may have an open width")
+
+    @property
+    def names(self):
+        return [n for n, _ in self.parts]
+
+    def fuse(self, **arrays) -> F.Column:
+        missing = [n for n in self.names if n not in arrays]
+        if missing:
+            raise KeyError(f"missing parts: {missing}")
+        return F.concat(*[arrays[n].cast("array<double>") for n in self.names])
+
+    def parts_of(self, vec) -> dict:
+        from tessera.functions.arrays import slice_modalities
+        cols = slice_modalities(vec, [w for _, w in self.parts])
+        return dict(zip(self.names, cols))
+
+
+# Layouts of the reference's two fused vectors: tabular -> audio -> image
+# pixels, and image embedding -> audio -> tabular.
+TAB_AUD_IMG = Layout([("tab", 21), ("aud", 13), ("img", None)])
+IMG_AUD_TAB = Layout([("img", 512), ("aud", 13), ("tab", None)])

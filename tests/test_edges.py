@@ -58,3 +58,13 @@ def test_capped_sample_keeps_small_groups_whole(spark):
     out = sp.capped_sample(df, "id", "g", 20)
     counts = {r.g: r["count"] for r in out.groupBy("g").count().collect()}
     assert counts == {"big": 20, "small": 10}
+
+
+def test_layout_roundtrip(spark):
+    from tessera.operators.fusion import Layout
+    lay = Layout([("a", 2), ("b", 3), ("c", None)])
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0, 5.0], [6.0])], "a array<double>, b array<double>, c array<double>")
+    fused = df.select(lay.fuse(a=F.col("a"), b=F.col("b"), c=F.col("c")).alias("v"))
+    parts = lay.parts_of(F.col("v"))
+    row = fused.select(*[parts[n].alias(n) for n in lay.names]).first()
+    assert row.a == [1.0, 2.0] and row.b == [3.0, 4.0, 5.0] and row.c == [6.0]
