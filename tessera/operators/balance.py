@@ -39,7 +39,9 @@ def principal_axes(df: DataFrame, vec: str, m: int = 2) -> list[list[float]]:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    width = df.select(F.max(F.size(vec))).first()[0] or 1
+    width = df.select(F.max(F.size(vec))).first()[0]
+    if not width:                      # no rows: any orthonormal axes do
+        return [[1.0]] + ([[0.0]] if m > 1 else [])
     m = max(1, min(m, width))
     vecs = df.select(array_to_vector(F.col(vec)).alias("_f"))
     pc = PCA(k=m, inputCol="_f").fit(vecs).pc.toArray()           # (d, m)

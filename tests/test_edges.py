@@ -68,3 +68,15 @@ def test_layout_roundtrip(spark):
     parts = lay.parts_of(F.col("v"))
     row = fused.select(*[parts[n].alias(n) for n in lay.names]).first()
     assert row.a == [1.0, 2.0] and row.b == [3.0, 4.0, 5.0] and row.c == [6.0]
+
+
+def test_empty_inputs(spark):
+    from tessera.operators import balance as bl
+    from tessera.operators.ordinal import exact_quantiles, rank_within
+    e = spark.createDataFrame([], "id long, vec array<double>, label string, x double")
+    assert rank_within(e, ["id"], ["label"]).count() == 0
+    assert exact_quantiles(e, ["label"], "x", [0.5]).count() == 0
+    assert sp.train_test_split(e, "id").count() == 0
+    assert sp.stratified_folds(e, "id", "label").count() == 0
+    assert bl.knn_within_class(e, "id", "vec", "label").count() == 0
+    assert bl.smote(e, "id", "vec", "label").count() == 0
