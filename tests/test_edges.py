@@ -80,3 +80,14 @@ def test_empty_inputs(spark):
     assert sp.stratified_folds(e, "id", "label").count() == 0
     assert bl.knn_within_class(e, "id", "vec", "label").count() == 0
     assert bl.smote(e, "id", "vec", "label").count() == 0
+
+
+def test_smote_single_row_class_copies(spark):
+    from tessera.operators import balance as bl
+    rows = [(i, [float(i), 1.0], "big") for i in range(6)] + [(100, [7.0, 7.0], "one")]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    out = bl.smote(df, "id", "vec", "label", 5)
+    counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {"big": 6, "one": 6}
+    syn = out.where("label = 'one' AND src = 'synth'").collect()
+    assert len(syn) == 5 and all(r.vec == [7.0, 7.0] and r.base_id == 100 and r.nbr_id == 100 for r in syn)
