@@ -52,15 +52,39 @@ def missing_flags(df: DataFrame, id_col: str, cols) -> DataFrame:
     return df.select(id_col, *flags, total.alias("n_missing"))
 
 
+WIDE_CORR_COLUMNS = 50
+PAIRS_PER_PASS = 500
+
+
+def _pair_struct(a: str, b: str, value):
+    return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("corr"))
+
+
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
-    One aggregation computes every pair; constant columns give NULL (no
-    ANSI divide-by-zero).  Both (a, b) and (b, a) are returned.
+    Up to ``WIDE_CORR_COLUMNS`` columns: one aggregation computes every pair
+    (constant columns give NULL, no ANSI divide-by-zero).  Wider tables:
+    without missing values, Spark ML's ``Correlation`` on one vector column
+    (a d x d result); with missing values, the pairwise-complete pairs in
+    aggregations of at most ``PAIRS_PER_PASS`` pairs each.  Both (a, b) and
+    (b, a) are returned.
     """
     cols = list(cols)
-    aggs = []
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    if len(cols) > WIDE_CORR_COLUMNS:
+        nulls = df.agg(F.sum(sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0)))).first()[0]
+        if not nulls:
+            return _correlation_ml(df, cols)
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        part = _correlation_pass(df, cols, pairs[start:start + PAIRS_PER_PASS])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _correlation_pass(df: DataFrame, cols, pairs) -> DataFrame:
+    aggs = []
     for i, j in pairs:
         a, b = F.col(cols[i]), F.col(cols[j])
         both = a.isNotNull() & b.isNotNull()
@@ -71,14 +95,28 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     row = df.agg(*aggs)
     stacked = []
     for i, j in pairs:
-        stacked.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                F.col(f"p{i}_{j}").alias("corr")))
+        stacked.append(_pair_struct(cols[i], cols[j], F.col(f"p{i}_{j}")))
         if i != j:
-            stacked.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                    F.col(f"p{i}_{j}").alias("corr")))
+            stacked.append(_pair_struct(cols[j], cols[i], F.col(f"p{i}_{j}")))
     return row.select(F.explode(F.array(*stacked)).alias("c")).select("c.*")
 
 
+def _correlation_ml(df: DataFrame, cols) -> DataFrame:
+    """Complete data: Pearson matrix from one vector column (treeAggregate
+    of a d x d Gramian); zero-variance columns give NULL."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=cols, outputCol="_f").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("_f")
+    m = Correlation.corr(vec, "_f").first()[0].toArray()
+    rows = [(cols[i], cols[j], None if math.isnan(m[i][j]) else float(m[i][j]))
+            for i in range(len(cols)) for j in range(len(cols))]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 

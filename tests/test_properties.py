@@ -128,3 +128,24 @@ def test_exact_quantiles_both_paths_agree(spark):
     b = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75], small_group_rows=10).collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[key] - b[key]) < 1e-9 for key in a)
+
+
+def test_wide_correlation_paths_agree(spark):
+    import tessera.operators.profile as pf
+    df = spark.range(0, 300).select(*[(F.sin(F.col("id") * (i + 1)) + F.col("id") % (i + 2)).alias(f"c{i}")
+                                      for i in range(6)])
+    cols = df.columns
+    narrow = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(df, cols).collect()}
+    old_w, old_p = pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS
+    try:
+        pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS = 2, 4
+        ml = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(df, cols).collect()}
+        with_null = df.withColumn("c0", F.when(F.col("c1") > 1, F.col("c0")))
+        batched = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(with_null, cols).collect()}
+    finally:
+        pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS = old_w, old_p
+    ref_null = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(with_null, cols).collect()}
+    assert narrow.keys() == ml.keys() and len(ml) == 36
+    assert all(abs(narrow[k] - ml[k]) < 1e-9 for k in narrow)
+    assert batched.keys() == ref_null.keys()
+    assert all(abs(batched[k] - ref_null[k]) < 1e-12 for k in batched)
