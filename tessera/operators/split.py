@@ -42,6 +42,9 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, salt: s
     h = df.withColumn("_h", hash_key(F.col(id_col), salt))
     r = rank_within(h, ["_h", id_col], [label], rank_col="_r", size_col="_n")
     sizes = r.select(label, "_n").distinct()
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is not None and largest < k:
+        raise ValueError(f"k={k} folds exceed the number of rows of every class (largest class: {largest})")
     # one row per class: cumulative offset of earlier classes
     offs = sizes.select(label, F.coalesce(F.sum("_n").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -91,3 +91,11 @@ def test_smote_single_row_class_copies(spark):
     assert counts == {"big": 6, "one": 6}
     syn = out.where("label = 'one' AND src = 'synth'").collect()
     assert len(syn) == 5 and all(r.vec == [7.0, 7.0] and r.base_id == 100 and r.nbr_id == 100 for r in syn)
+
+
+def test_folds_reject_k_above_every_class(spark):
+    import pytest
+    df = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(5)], "id long, label string")
+    with pytest.raises(ValueError):
+        sp.stratified_folds(df, "id", "label", 5)
+    assert sp.stratified_folds(df, "id", "label", 3).count() == 5
