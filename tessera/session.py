@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: on a cluster it must name a folder "
+                f"that the driver and all executors share (master is {master!r})")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -61,15 +67,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file APIs."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
 def num_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -89,9 +86,9 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession | None = None) -> None:
     """Make ``tessera`` importable in executor Python workers (Arrow UDFs
-    reference its modules): zip the package once per application into the
-    shared folder and ``addPyFile`` it, as ``--py-files`` would."""
-    import io
+    reference its modules): zip the package once per application beside the
+    driver and hand it to ``addPyFile``, which serves it to every executor,
+    as ``--py-files`` would."""
     import zipfile
 
     spark = spark or SparkSession.getActiveSession()
@@ -101,15 +98,12 @@ def ship_package(spark: SparkSession | None = None) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+    target = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), f"tessera-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    from tessera.functions.media import write_bytes
-    target = f"{shared_dir(spark).rstrip('/')}/tessera-pkg/tessera-{uuid.uuid4().hex[:8]}.zip"
-    write_bytes(target, buf.getvalue())
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
