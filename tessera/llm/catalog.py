@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality, simhash
+from tessera.llm import langid, licences, mixing, quality, simhash
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,92 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def _sql_canonical(text: str) -> str:
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, to in licences.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace("$", chr(92))}', 'g')"
+    out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', '', 'g')"
+    return f"trim(regexp_replace({out}, '{licences.NOT_WORD}', ' ', 'g'))"
+
+
+def _op2_sql() -> str:
+    known = ", ".join("('{}', '{}', '{}')".format(a, b, t.replace("'", "''")) for a, b, t in licences.KNOWN)
+    return f"""
+WITH known_text(license_id, kind, t) AS (VALUES {known}),
+known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(license_id) AS license_id, min(kind) AS kind
+          FROM known_text GROUP BY 1),
+units AS (SELECT doc_id, 'document' AS scope, coalesce(text, '') AS u FROM documents
+          UNION ALL
+          SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
+hits AS (SELECT doc_id, license_id, kind, scope, count(*) AS n_matches
+         FROM units JOIN known ON sha256({_sql_canonical("u")}) = digest GROUP BY ALL)
+SELECT d.doc_id, license_id, kind, scope, n_matches
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN hits h ON d.doc_id IS NOT DISTINCT FROM h.doc_id"""
+
+
+@query("op2_license_scan", _op2_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license_id, kind, scope, n_matches for every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+DOMAINS = {"web": [f"src{i}" for i in range(10)], "reference": [f"src{i}" for i in range(10, 15)]}
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 5, "reference": 2, "other": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1},
+               "source": {"src0": 1, "src5": 3}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The domain of each source: a fixed grouping, other for the rest."""
+    domain = F.lit("other")
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col("source").isin(sources), F.lit(name)).otherwise(domain)
+    return docs.withColumn("domain", domain)
+
+
+def mixing_sql(docs: str, levels: list[str], weights: dict, budget: str, epochs: int, out: str, seed: int = 42) -> str:
+    """DuckDB twin of ``mixing.mix`` over the relation ``docs``; ``budget`` may use tokens."""
+    keys = [f"k{i}" for i in range(len(levels))]
+    parts = [f"""toks AS (SELECT *, {", ".join(f"coalesce({n}::VARCHAR, '{mixing.NULL_NODE}') AS {k}" for n, k in zip(levels, keys))},
+  coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS n_tokens FROM {docs})""",
+             f"""leaf AS (SELECT {", ".join(keys)}, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {epochs})::BIGINT AS capacity
+  FROM toks GROUP BY ALL)"""]
+    for i, (name, key) in enumerate(zip(levels, keys)):
+        done = keys[:i]
+        by = f"PARTITION BY {', '.join(done)}" if done else ""
+        weight = "CASE " + key + "".join(f" WHEN '{n}' THEN {w}" for n, w in weights[name].items()) + " ELSE 1 END" if weights.get(name) else "1"
+        group = ", ".join([*done, key])
+        parent = f"({budget.replace('tokens', '(sum(tokens) OVER ())')})::BIGINT" if not done else "parent_budget"
+        join = f"JOIN a{i - 1} USING ({', '.join(done)})" if done else ""
+        parts.append(f"""n{i} AS (SELECT {group}, sum(tokens)::BIGINT AS tokens, sum(capacity)::BIGINT AS capacity, ({weight})::BIGINT AS w FROM leaf GROUP BY {group}),
+m{i} AS (SELECT {group}, w, CASE WHEN w = 0 THEN 0 ELSE capacity END AS capacity, {parent} AS pb FROM n{i} {join}),
+o{i} AS (SELECT *, greatest(sum(w) OVER (win ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)::BIGINT AS w_rest,
+  greatest(pb - coalesce(sum(capacity) OVER (win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS lft
+  FROM m{i} WINDOW win AS ({by} ORDER BY capacity::DOUBLE / greatest(w, 1), {key})),
+f{i} AS (SELECT *, (lft // w_rest) * w >= capacity AS is_full FROM o{i}),
+g{i} AS (SELECT *, sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by})::BIGINT AS fc,
+  greatest(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({by}), 1)::BIGINT AS ow FROM f{i}),
+a{i} AS (SELECT {group}, CASE WHEN is_full THEN capacity ELSE least((greatest(pb - fc, 0) // ow) * w, capacity) END AS parent_budget FROM g{i})""")
+    last = len(levels) - 1
+    hashed = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}:' || epoch), 1, 8))::BIGINT"
+    parts.append(f"""placed AS (SELECT t.*, epoch, {hashed} AS h FROM toks t, (SELECT unnest(range({epochs}))::INTEGER AS epoch)),
+run AS (SELECT p.*, a.parent_budget, sum(n_tokens) OVER (PARTITION BY {", ".join(keys)} ORDER BY epoch, h, doc_id NULLS FIRST, md5(coalesce(text, ''))
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed p JOIN a{last} a USING ({", ".join(keys)}))""")
+    return f"WITH {', '.join(parts)}\nSELECT {out} FROM run WHERE parent_budget > 0 AND upto <= parent_budget"
+
+
+_DOMAIN_SQL = ("(SELECT *, CASE " + " ".join(f"WHEN source IN ({', '.join(repr(s) for s in sources)}) THEN '{name}'"
+                                             for name, sources in DOMAINS.items()) + " ELSE 'other' END AS domain FROM documents)")
+
+
+@query("op4_source_mixing", mixing_sql(_DOMAIN_SQL, MIX_LEVELS, MIX_WEIGHTS, "tokens // 2", 2,
+                                       "doc_id, domain, lang, source, epoch, n_tokens"))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, n_tokens of the rows taken for half the corpus's tokens."""
+    docs = with_domain(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, F.expr("tokens div 2"), epochs=2).drop("text")
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every document."""
