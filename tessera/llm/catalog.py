@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, licences, linededup, mixing, quality, simhash
+from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, quality, simhash
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.held_out(F.col("doc_id"), 4, 2)
     model = langid.fit(docs.where(~out), public_tokenizers.path("piece_bpe_32k.model"))
     return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses for every document."""
+    got = fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                      "fingerprint", "edited_fingerprint", "near_edited", "near_next")
