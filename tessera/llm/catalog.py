@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, quality, simhash
+from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, pages, quality, simhash
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every page."""
+    got = pages.extract(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
