@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, pages, quality, simhash
+from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, neighbours, pages, quality, simhash
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     got = pages.extract(table(spark, sf_dir, "pages"))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: 20 neighbours of every 20th id."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
