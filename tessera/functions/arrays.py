@@ -86,11 +86,11 @@ def replicate_channels(arr: Column, n: int = 3) -> Column:
 
 
 def normalize_channels(arr: Column, plane: Column | int, mean=CHANNEL_MEAN, std=CHANNEL_STD) -> Column:
-    """(x - mean_c) / std_c where c = position div plane size."""
+    """(x / 255 - mean_c) / std_c where c = position div plane size."""
     m = F.array(*[F.lit(float(x)) for x in mean])
     s = F.array(*[F.lit(float(x)) for x in std])
     p = plane if isinstance(plane, Column) else F.lit(plane)
-    return F.transform(arr, lambda x, i: (x.cast("double") - F.element_at(m, (i / p).cast("int") + 1))
+    return F.transform(arr, lambda x, i: (x.cast("double") / 255.0 - F.element_at(m, (i / p).cast("int") + 1))
                        / F.element_at(s, (i / p).cast("int") + 1))
 
 

@@ -155,14 +155,17 @@ def q_pool_grid(spark, sf):
 
 
 def _gray_sql():
-    px = [f"(((299.0 * CAST(vec[{i + 1}] AS DOUBLE)) + (587.0 * CAST(vec[{i + 17}] AS DOUBLE))) + "
-          f"(114.0 * CAST(vec[{i + 33}] AS DOUBLE))) / 1000.0" for i in range(16)]
+    # the three planes of an image whose channels are the grid, its mirror and its negative
+    px = [f"(((299.0 * CAST(vec[{i + 1}] AS DOUBLE)) + (587.0 * CAST(vec[{i // 8 * 8 + 8 - i % 8}] AS DOUBLE))) + "
+          f"(114.0 * (0.0 - CAST(vec[{i + 1}] AS DOUBLE)))) / 1000.0" for i in range(64)]
     return _rl("[" + ", ".join(px) + "]")
 
 
 @query("grayscale", f"SELECT id, {_gray_sql()} AS gray FROM v_img")
 def q_grayscale(spark, sf):
-    return Views(spark, sf).v_img().select("id", ar.round_array(ar.grayscale(F.col("vec"), 16)).alias("gray"))
+    vec = ar.to_double(F.col("vec"))
+    rgb = F.concat(vec, ar.flip_rows(vec, 8, 8), F.transform(vec, lambda x: F.lit(0.0) - x))
+    return Views(spark, sf).v_img().select("id", rgb.alias("rgb")).select("id", ar.round_array(ar.grayscale(F.col("rgb"), 64)).alias("gray"))
 
 
 @query("replicate_channels", "SELECT id, vec || vec || vec AS rgb FROM v_img")
@@ -172,7 +175,7 @@ def q_replicate_channels(spark, sf):
 
 def _norm_sql():
     m, s = ar.CHANNEL_MEAN, ar.CHANNEL_STD
-    parts = [f"list_transform(CAST(vec AS DOUBLE[]), lambda x: (x - {m[c]!r}) / {s[c]!r})" for c in range(3)]
+    parts = [f"list_transform(CAST(vec AS DOUBLE[]), lambda x: (x / 255.0 - {m[c]!r}) / {s[c]!r})" for c in range(3)]
     return _rl(" || ".join(parts))
 
 
@@ -183,23 +186,27 @@ def q_normalize_channels(spark, sf):
         "id", ar.round_array(ar.normalize_channels(rgb, F.size("vec"))).alias("normed"))
 
 
-@query("augment_flip", f"""SELECT id, {sql_hash('id', "'flip'")} % 2 = 1 AS flipped,
-    CASE WHEN {sql_hash('id', "'flip'")} % 2 = 1
+_FLIP_SQL = f"({sql_hash('id', chr(39) + 'flip' + chr(39))} % 2 = 1 AND {sql_hash('id', chr(39) + 'media' + chr(39))} % 5 <> 0)"
+
+
+@query("augment_flip", f"""SELECT id, {_FLIP_SQL} AS flipped,
+    CASE WHEN {_FLIP_SQL}
          THEN flatten(list_transform(range(8), lambda r: list_reverse(vec[r * 8 + 1:r * 8 + 8]))) ELSE vec END AS vec
     FROM v_img""")
 def q_augment_flip(spark, sf):
-    coin = (hash_key(F.col("id"), "flip") % 2) == 1
+    """Half of the training rows are mirrored, no test row is."""
+    coin = ((hash_key(F.col("id"), "flip") % 2) == 1) & (hash_key(F.col("id"), "media") % 5 != 0)
     return Views(spark, sf).v_img().select(
         "id", coin.alias("flipped"), F.when(coin, ar.flip_rows(F.col("vec"), 8, 8)).otherwise(F.col("vec")).alias("vec"))
 
 
-@query("cast_features", """SELECT t.id, CAST([f_acctbal, f_spend, f_avg, f_max] AS FLOAT[]) AS x, i.idx AS y
+@query("cast_features", """SELECT t.id, CAST([f_acctbal, f_n, f_spend, f_avg, f_max] AS FLOAT[]) AS x, i.idx AS y
     FROM v_tab t JOIN (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS idx
                        FROM (SELECT DISTINCT label FROM v_tab) d) i USING (label)""")
 def q_cast_features(spark, sf):
     t = Views(spark, sf).v_tab()
     e = prep.label_encode(t, "label", prep.label_index(t, "label"))
-    return e.select("id", F.array("f_acctbal", "f_spend", "f_avg", "f_max").cast("array<float>").alias("x"),
+    return e.select("id", F.array("f_acctbal", "f_n", "f_spend", "f_avg", "f_max").cast("array<float>").alias("x"),
                     F.col("idx").cast("int").alias("y"))
 
 
