@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import TWO_32, hash_key
+from tessera.operators.joins import broadcast_checked
 from tessera.operators.ordinal import rank_within
 from tessera.session import materialize
 from tessera.operators.prep import _bounded_collect
 
 _SLACK = 1e-6
+_EPS = 2.0 ** -52
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -70,16 +72,25 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
         base = materialize(base)
     if axes is None:
         axes = principal_axes(base, "_v", 2)
-    # coordinates on orthonormal axes: |P(x - y)| <= |x - y|
-    base = base.withColumn("_p", _dot(F.col("_v"), axes[0]))
-    base = base.withColumn("_p2", _dot(F.col("_v"), axes[1]) if len(axes) > 1 else F.lit(0.0))
+    # coordinates on orthonormal axes: |P(x - y)| <= |x - y|.  Vectors are
+    # centred on their class first, and _err bounds the rounding of centring
+    # and projection (one vector of d doubles per class)
+    longest = base.select("_c", "_v", F.aggregate("_v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))).alias("_m"), F.size("_v").alias("_d"))
+    centre = (longest.select("_c", "_m", "_d", F.posexplode("_v").alias("_i", "_x"))
+              .groupBy("_c", "_i").agg(F.avg("_x").alias("_x"), F.max("_m").alias("_m"), F.max("_d").alias("_d"))
+              .groupBy("_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_mu"),
+                                 (8 * _EPS * F.max("_d") * F.max("_m")).alias("_err")))
+    base = base.join(broadcast_checked(centre.withColumnRenamed("_c", "_cc")), F.col("_c").eqNullSafe(F.col("_cc")), "left").drop("_cc")
+    near = F.zip_with("_v", "_mu", lambda x, m: x - m)
+    base = base.withColumn("_p", _dot(near, axes[0]))
+    base = base.withColumn("_p2", _dot(near, axes[1]) if len(axes) > 1 else F.lit(0.0)).drop("_mu")
     # Copies: at equal distance ties go to the smaller id, so only the k+1
     # smallest ids of each (class, vector) can be anyone's neighbour.  The
     # row_number filter runs as a per-partition WindowGroupLimit before the
     # shuffle, so a huge group of copies never gathers in one task.
     dup = Window.partitionBy("_c", "_v").orderBy("_id")
     cand = base.withColumn("_dr", F.row_number().over(dup)).where(F.col("_dr") <= k + 1)
-    ranked = materialize(rank_within(cand, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n"))
+    ranked = rank_within(cand, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n")       # checkpointed inside
 
     qsel = base if queries is None else base.join(
         queries.select(F.col(queries.columns[0]).alias("_id")).distinct(), "_id", "left_semi")
@@ -95,20 +106,20 @@ def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k
 
     # 1) seed radius from the k rank-neighbours on each side
     offs = F.explode(F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0]))
-    seed = (q.select("_id", "_c", "_p", "_p2", "_r", "_n", "_v", offs.alias("_o"))
+    seed = (q.select("_id", "_c", "_p", "_p2", "_err", "_r", "_n", "_v", offs.alias("_o"))
             .withColumn("_t", F.col("_r") + F.col("_o"))
             .where((F.col("_t") >= 0) & (F.col("_t") < F.col("_n"))))
     other = ranked.select(F.col("_c").alias("_c2"), F.col("_r").alias("_t2"), F.col("_v").alias("_v2"))
     cand = seed.join(other, (seed["_c"] == other["_c2"]) & (seed["_t"] == other["_t2"]))
     # grouping by the query's own columns avoids joining the radius back
-    radius = (cand.groupBy("_id", "_c", "_p", "_p2")
+    radius = (cand.groupBy("_id", "_c", "_p", "_p2", "_err")
               .agg(F.first("_v").alias("_v"),
                    F.sort_array(F.collect_list(sq_dist(F.col("_v"), F.col("_v2")))).alias("_ds"))
-              .select("_id", "_c", "_p", "_p2", "_v",
+              .select("_id", "_c", "_p", "_p2", "_err", "_v",
                       F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_rad2")))
     # one row per query: checkpointed so the band join below plans against
     # a short lineage
-    qr = materialize(radius.withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12)))
+    qr = materialize(radius.withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12) + F.col("_err")))
 
     # 2) grid cell width per class (one row per class); a query covers at
     # most 17 x 17 cells
@@ -163,7 +174,10 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     """
     rows = materialize(df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                                  F.col(label_col).alias("_c")))
-    ranked = materialize(rank_within(rows, ["_id"], ["_c"], rank_col="_rk", size_col="_nc"))
+    id_type = rows.schema["_id"].dataType.simpleString()
+    seq_type = "long" if id_type in ("tinyint", "smallint", "int", "bigint") else "string"     # numbers stay numbers
+    id_type = "bigint" if seq_type == "long" else id_type
+    ranked = rank_within(rows, ["_id"], ["_c"], rank_col="_rk", size_col="_nc")
     sizes = ranked.select("_c", "_nc").distinct()
     # one row per class; the unpartitioned window runs over that table only
     sizes = (sizes.withColumn("_nmax", F.max("_nc").over(Window.partitionBy()))
@@ -193,11 +207,14 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     nn = knn_within_class(rows, "_id", "_v", "_c", k, queries=syn.select("base_id"), checkpoint_input=False)
     nn = nn.select(F.col("id").alias("_qid"), F.col("nbr_rank").alias("_qr"), "nbr_id", "nbr_vec")
     syn = syn.join(nn, (syn["base_id"] == nn["_qid"]) & (syn["_nr"] == nn["_qr"]), "left")
-    nv = F.coalesce(F.col("nbr_vec"), F.col("_bv"))
+    # a class of one row has no neighbour: its copies are the row itself
+    lost = F.raise_error(F.concat(F.lit("no neighbour found for row "), F.col("base_id").cast("string"))).cast("array<double>")
+    nv = F.coalesce(F.col("nbr_vec"), F.when(F.col("_nr") == 0, F.col("_bv")).otherwise(lost))
     new = F.zip_with(F.col("_bv"), nv, lambda a, n: a + F.col("_u") * (n - a))
-    synth = syn.select(F.col("_c").alias(label_col), F.lit("synth").alias("src"), F.col("s").cast("long").alias("seq"),
-                       "base_id", F.coalesce(F.col("nbr_id"), F.col("base_id")).alias("nbr_id"), new.alias(vec_col))
-    orig = rows.select(F.col("_c").alias(label_col), F.lit("orig").alias("src"), F.col("_id").cast("long").alias("seq"),
-                       F.lit(None).cast("long").alias("base_id"), F.lit(None).cast("long").alias("nbr_id"),
+    synth = syn.select(F.col("_c").alias(label_col), F.lit("synth").alias("src"), F.col("s").cast(seq_type).alias("seq"),
+                       F.col("base_id").cast(id_type).alias("base_id"),
+                       F.coalesce(F.col("nbr_id"), F.col("base_id")).cast(id_type).alias("nbr_id"), new.alias(vec_col))
+    orig = rows.select(F.col("_c").alias(label_col), F.lit("orig").alias("src"), F.col("_id").cast(seq_type).alias("seq"),
+                       F.lit(None).cast(id_type).alias("base_id"), F.lit(None).cast(id_type).alias("nbr_id"),
                        F.col("_v").alias(vec_col))
     return orig.unionByName(synth)

@@ -23,12 +23,19 @@ def with_ordinal(df: DataFrame, order_cols, col: str = "ordinal") -> DataFrame:
 def align_by_position(sources: dict[str, tuple[DataFrame, list]], col: str = "ordinal") -> DataFrame:
     """sources: name -> (frame, order columns).  Every frame's columns are
     prefixed with its name; the result has one row per ordinal present in
-    all sources."""
-    framed = []
+    all sources.  The order columns must identify a row of their source."""
+    # only the order keys are ranked; the narrow ranks meet, which cuts every
+    # source to the shortest, and the wide columns join the kept keys once
+    ranks = []
     for name, (df, order) in sources.items():
-        r = with_ordinal(df, order, col)
-        framed.append(r.select(col, *[F.col(c).alias(f"{name}_{c}") for c in df.columns]))
-    return reduce(lambda a, b: a.join(b, col, "inner"), framed)
+        r = with_ordinal(df.select(*order), order, col)
+        ranks.append(r.select(col, *[F.col(c).alias(f"_{name}_{c}") for c in order]))
+    out = reduce(lambda a, b: a.join(b, col, "inner"), ranks)
+    for name, (df, order) in sources.items():
+        wide = df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+        cond = reduce(lambda a, b: a & b, [F.col(f"_{name}_{c}").eqNullSafe(F.col(f"{name}_{c}")) for c in order])
+        out = out.join(wide, cond, "inner").drop(*[f"_{name}_{c}" for c in order])
+    return out
 
 
 def head_n(df: DataFrame, order_cols, n: int, col: str = "ordinal") -> DataFrame:

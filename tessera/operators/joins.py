@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when a bounded count shows at most ``max_rows``
-    rows; otherwise ``df`` unchanged (the join is then planned by AQE from
-    runtime sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if a bounded read shows that it has at most
+    ``max_rows`` rows and ``max_bytes`` bytes (strings and binaries as they
+    are, eight bytes for each other column); otherwise ``df`` unchanged, and
+    adaptive execution plans the join from measured sizes."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{n}`").cast("string")), F.lit(0)) if t in ("string", "binary") or t.startswith(("array", "map", "struct"))
+            else F.lit(8) for n, t in df.dtypes]
+    size = sum(wide[1:], wide[0]).cast("long") if wide else F.lit(0)
+    rows, total = df.limit(max_rows + 1).select(size.alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and total <= max_bytes else df

@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import broadcast_checked
 from tessera.session import materialize, num_partitions
 
 _LOW33 = (1 << 33) - 1
@@ -70,50 +71,54 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     return out.drop(*drop)
 
 
-SMALL_GROUP_ROWS = 1_000_000
-
-
-def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs,
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs) -> DataFrame:
     """Exact linear-interpolated quantiles (as ``percentile`` / numpy
     'linear') per group: one row per (group, p) with column ``q``.
 
-    When the largest group has at most ``small_group_rows`` values (one
-    count aggregation decides), the built-in ``percentile`` aggregate is
-    used: its per-group buffer is then bounded.  Otherwise the distributed
-    path runs: only rows at the two ranks bracketing each target position
-    survive a join against the ranked values, so no group is ever gathered
-    in one place.
+    Equal values are counted first, with map-side combining, so a frequent
+    value is one row.  The distinct values are range-partitioned; running
+    sums of their counts inside each partition, plus the offsets of earlier
+    partitions, give the ranks that each value covers, and only the values
+    that cover a target position survive the join with the targets (a row
+    per group and position).  No task holds more than a range partition.
     """
     group_cols = list(group_cols)
-    v = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
-    largest = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-    if largest is None:
-        sch = v.select(*group_cols).schema
-        return v.sparkSession.createDataFrame([], sch.add("p", "double").add("q", "double"))
-    if largest <= small_group_rows:
-        plist = [float(p) for p in probs]
-        agg = v.groupBy(*group_cols).agg(F.percentile(F.col(value_col).cast("double"), plist).alias("_qs"))
-        z = F.arrays_zip(F.array(*[F.lit(p) for p in plist]).alias("p"), F.col("_qs").alias("q"))
-        return agg.select(*group_cols, F.explode(z).alias("_z")).select(*group_cols, "_z.p", "_z.q")
-    ranked = rank_within(v.select(*group_cols, value_col), [value_col], group_cols,
-                         rank_col="_r", size_col="_n")
-    targets = (ranked.select(*group_cols, "_n").distinct()
-               .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-               .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("p"))
-               .withColumn("_lo", F.floor("_pos").cast("long"))
-               .withColumn("_hi", F.ceil("_pos").cast("long")))
-    t = (targets.withColumn("_r", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
-         .select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)],
-                 "p", "_pos", "_lo", "_hi", F.col("_r").alias("_tr")))
-    cond = ranked["_r"] == t["_tr"]
-    for i, g in enumerate(group_cols):
-        cond = cond & ranked[g].eqNullSafe(t[f"_g_{i}"])
-    picked = ranked.join(t, cond, "inner")
+    spark = df.sparkSession
     val = F.col(value_col).cast("double")
-    agg = (picked.groupBy(*group_cols, "p", "_pos", "_lo", "_hi")
-           .agg(F.max(F.when(F.col("_r") == F.col("_lo"), val)).alias("_vlo"),
-                F.max(F.when(F.col("_r") == F.col("_hi"), val)).alias("_vhi")))
+    counts = (df.select(*group_cols, (val + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    keys = _as_cols(group_cols) + [F.col("_v")]
+    s = materialize(counts.repartitionByRange(num_partitions(spark), *keys).withColumn("_pid", F.spark_partition_id()))
+    totals = s.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_pc"))
+    w = Window.partitionBy(*group_cols)
+    # one row per partition and group
+    totals = (totals.withColumn("_off", F.coalesce(F.sum("_pc").over(
+        w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_n", F.sum("_pc").over(w)))
+    targets = totals.select(*group_cols, "_n").distinct()
+    pos = (F.col("_n") - 1).cast("double") * F.col("p")
+    targets = (targets.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+               .select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)], "p", pos.alias("_pos"),
+                       F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi")))
+    local = Window.partitionBy("_pid", *group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    st = totals.select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)], F.col("_pid").alias("_spid"), "_off")
+    cond = F.col("_pid") == F.col("_spid")
+    for i, g in enumerate(group_cols):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{i}"))
+    ends = (s.withColumn("_end", F.sum("_c").over(local)).join(broadcast_checked(st), cond)
+            .select(*group_cols, "_v", (F.col("_end") + F.col("_off")).alias("_end"), (F.col("_end") + F.col("_off") - F.col("_c")).alias("_start")))
+
+    def covers(r):
+        return (F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end"))
+
+    cond = covers("_lo") | covers("_hi")
+    for i, g in enumerate(group_cols):
+        cond = F.col(g).eqNullSafe(F.col(f"_g_{i}")) & cond
+    if not group_cols:
+        ends, targets = ends.withColumn("_one", F.lit(1)), targets.withColumn("_g_one", F.lit(1))
+        cond = (F.col("_one") == F.col("_g_one")) & cond
+    agg = (ends.join(broadcast_checked(targets), cond).groupBy(*group_cols, "p", "_pos", "_lo", "_hi")
+           .agg(F.max(F.when(covers("_lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(covers("_hi"), F.col("_v"))).alias("_vhi")))
     q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
     return agg.select(*group_cols, "p", q.alias("q"))

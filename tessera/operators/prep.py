@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import broadcast_checked
 from tessera.operators.ordinal import unpivot_numeric, exact_quantile_table
 
 MAX_PARAM_ROWS = 1_000_000
@@ -108,12 +109,12 @@ def label_index(df: DataFrame, label: str) -> DataFrame:
 
 def label_encode(df: DataFrame, label: str, index: DataFrame, out: str = "idx") -> DataFrame:
     """Attach the class index; an unknown class raises (as the encoder does)."""
-    j = df.join(index.withColumnRenamed("idx", "_idx"), label, "left")
+    j = df.join(broadcast_checked(index.withColumnRenamed("idx", "_idx")), label, "left")
     return j.withColumn(out, F.when(F.col("_idx").isNull(),
                                     F.raise_error(F.concat(F.lit("unknown label: "), F.col(label).cast("string"))))
                         .otherwise(F.col("_idx"))).drop("_idx")
 
 
 def label_decode(df: DataFrame, idx_col: str, index: DataFrame, label: str, out: str) -> DataFrame:
-    m = index.select(F.col("idx").alias("_i"), F.col(label).alias(out))
+    m = broadcast_checked(index.select(F.col("idx").alias("_i"), F.col(label).alias(out)))
     return df.join(m, df[idx_col] == m["_i"], "left").drop("_i")

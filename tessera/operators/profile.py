@@ -3,12 +3,15 @@ box-plot statistics and medians (the data behind the reference's figures)."""
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tessera.operators.joins import broadcast_checked
 from tessera.operators.ordinal import exact_quantile_table, unpivot_numeric
 
 
@@ -52,69 +55,48 @@ def missing_flags(df: DataFrame, id_col: str, cols) -> DataFrame:
     return df.select(id_col, *flags, total.alias("n_missing"))
 
 
-WIDE_CORR_COLUMNS = 50
-PAIRS_PER_PASS = 500
-
-
-def _pair_struct(a: str, b: str, value):
-    return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("corr"))
-
-
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
-
-    Up to ``WIDE_CORR_COLUMNS`` columns: one aggregation computes every pair
-    (constant columns give NULL, no ANSI divide-by-zero).  Wider tables:
-    without missing values, Spark ML's ``Correlation`` on one vector column
-    (a d x d result); with missing values, the pairwise-complete pairs in
-    aggregations of at most ``PAIRS_PER_PASS`` pairs each.  Both (a, b) and
-    (b, a) are returned.
+    """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr),
+    both (a, b) and (b, a); NULL where a column is constant over the rows
+    that have both.
+
+    One way at every width: each batch of rows gives, by matrix products,
+    the counts, sums, squares and products of all pairs over the rows that
+    have both values; Spark adds these up per pair.  Columns are shifted by
+    their minimum first, so a constant column is exactly zero.
     """
     cols = list(cols)
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    if len(cols) > WIDE_CORR_COLUMNS:
-        nulls = df.agg(F.sum(sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0)))).first()[0]
-        if not nulls:
-            return _correlation_ml(df, cols)
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = _correlation_pass(df, cols, pairs[start:start + PAIRS_PER_PASS])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _correlation_pass(df: DataFrame, cols, pairs) -> DataFrame:
-    aggs = []
-    for i, j in pairs:
-        a, b = F.col(cols[i]), F.col(cols[j])
-        both = a.isNotNull() & b.isNotNull()
-        xa = F.when(both, a.cast("double"))
-        yb = F.when(both, b.cast("double"))
-        denom = F.stddev_pop(xa) * F.stddev_pop(yb)
-        aggs.append(F.try_divide(F.covar_pop(xa, yb), F.nullif(denom, F.lit(0.0))).alias(f"p{i}_{j}"))
-    row = df.agg(*aggs)
-    stacked = []
-    for i, j in pairs:
-        stacked.append(_pair_struct(cols[i], cols[j], F.col(f"p{i}_{j}")))
-        if i != j:
-            stacked.append(_pair_struct(cols[j], cols[i], F.col(f"p{i}_{j}")))
-    return row.select(F.explode(F.array(*stacked)).alias("c")).select("c.*")
-
-
-def _correlation_ml(df: DataFrame, cols) -> DataFrame:
-    """Complete data: Pearson matrix from one vector column (treeAggregate
-    of a d x d Gramian); zero-variance columns give NULL."""
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_f").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("_f")
-    m = Correlation.corr(vec, "_f").first()[0].toArray()
-    rows = [(cols[i], cols[j], None if math.isnan(m[i][j]) else float(m[i][j]))
-            for i in range(len(cols)) for j in range(len(cols))]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    lows = df.agg(*[F.min(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    low = np.array([0.0 if v is None or math.isnan(v) else v for v in lows])
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(it):
+        total = None
+        for pdf in it:
+            x = pdf.to_numpy(dtype=np.float64) - low
+            has = ~np.isnan(x)
+            m, x = has.astype(np.float64), np.where(has, x, 0.0)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.divmod(np.arange(len(cols) ** 2), len(cols))
+            yield pd.DataFrame({"i": i, "j": j, **{n: t.ravel() for n, t in zip(names, total)}})
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    s = (wide.mapInPandas(sums, "i long, j long, " + ", ".join(f"{n} double" for n in names))
+         .groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names]))
+
+    def spread(total: str, squares: str):
+        v = F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(v > F.lit(1e-13) * F.col(squares), v)           # less is rounding: constant over these rows
+
+    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
+    r = cov / (F.sqrt(spread("sa", "saa")) * F.sqrt(spread("sb", "sbb")))
+    name = F.array(*[F.lit(c) for c in cols])
+    pair = s.select(F.element_at(name, (F.col("i") + 1).cast("int")).alias("col_a"),
+                    F.element_at(name, (F.col("j") + 1).cast("int")).alias("col_b"),
+                    r.alias("r"))
+    return pair.select("col_a", "col_b", F.when(F.col("r").isNotNull(), F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))).alias("corr"))
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -145,7 +127,7 @@ def boxplot_stats(df: DataFrame, features, label: str, method: str = "exact") ->
     long = _long(df, features, label, None)
     q = _fences(long, label, method)
     v = F.col("value")
-    j = long.join(q, ["feature", label])
+    j = long.join(broadcast_checked(q), ["feature", label])
     return j.groupBy("feature", label, "q1", "median", "q3", "iqr").agg(
         F.count(F.lit(1)).alias("n"),
         F.least(F.coalesce(F.min(F.when(v >= F.col("_lof"), v)), F.first("q1")),
@@ -160,7 +142,7 @@ def boxplot_outliers(df: DataFrame, features, label: str, id_col: str) -> DataFr
     long = _long(df, features, label, id_col)
     q = _fences(long.drop(id_col), label)
     v = F.col("value")
-    return (long.join(q, ["feature", label])
+    return (long.join(broadcast_checked(q), ["feature", label])
             .where((v < F.col("_lof")) | (v > F.col("_hif")))
             .select("feature", label, id_col, "value"))
 

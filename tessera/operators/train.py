@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt
+from tessera.operators.joins import broadcast_checked
 from tessera.operators.prep import _bounded_collect
 
 
@@ -33,7 +34,7 @@ def logistic(n_train: int, max_iter: int = 1000) -> LogisticRegression:
                               standardization=False, family="multinomial", tol=1e-6)
 
 
-def forest(num_trees: int = 100, max_depth: int = 12, seed: int = 42) -> RandomForestClassifier:
+def forest(num_trees: int = 100, max_depth: int = 30, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                   seed=seed, maxBins=64, maxMemoryInMB=1024, cacheNodeIds=True,
                                   checkpointInterval=10)
@@ -59,8 +60,8 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 def decoded(pred: DataFrame, index: DataFrame, true_idx: str = "label") -> DataFrame:
-    m = index.select(F.col("idx").alias("_pi"), F.col(index.columns[0]).alias("y_pred"))
-    t = index.select(F.col("idx").alias("_ti"), F.col(index.columns[0]).alias("y_true"))
+    m = broadcast_checked(index.select(F.col("idx").alias("_pi"), F.col(index.columns[0]).alias("y_pred")))
+    t = broadcast_checked(index.select(F.col("idx").alias("_ti"), F.col(index.columns[0]).alias("y_true")))
     p = pred.join(m, pred["pred_idx"] == m["_pi"], "left").drop("_pi")
     return p.join(t, p[true_idx].cast("int") == t["_ti"], "left").drop("_ti")
 
@@ -89,9 +90,5 @@ def top_k(importance: DataFrame, k: int = 10) -> DataFrame:
     return importance.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
 
 
-def vector_column_to_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(F.col(col)))
-
-
 def class_count(index: DataFrame) -> int:
     return len(_bounded_collect(index, 1 << 16))

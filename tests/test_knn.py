@@ -75,3 +75,25 @@ def test_knn_salted_cells_exact(spark):
     for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=7).orderBy("id", "nbr_rank").collect():
         got.setdefault(r.id, []).append(r.nbr_id)
     assert got == _brute(rows, 5)
+
+
+def test_knn_far_from_the_origin(spark):
+    # spacing 1e-3 on a diagonal, at offsets where a projection rounds by more than that
+    for offset in (1e8, 1.7e9):
+        rows = [(i, [offset + 1e-3 * i, offset + 1e-3 * i], "a") for i in range(120)]
+        df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+        got = {}
+        for r in bl.knn_within_class(df, "id", "vec", "label", 5).orderBy("id", "nbr_rank").collect():
+            got.setdefault(r.id, []).append(r.nbr_id)
+        assert got == _brute(rows, 5)
+
+
+def test_smote_keeps_string_ids(spark):
+    rnd = random.Random(9)
+    rows = [(f"row-{i}", [rnd.random(), rnd.random()], "a" if i % 4 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>, label string")
+    out = bl.smote(df, "id", "vec", "label").collect()
+    ids = {r[0] for r in rows}
+    assert sum(r.src == "synth" for r in out) == 30
+    assert all(r.base_id in ids and r.nbr_id in ids for r in out if r.src == "synth")
+    assert {r.seq for r in out if r.src == "orig"} == ids

@@ -122,30 +122,30 @@ def test_approx_quantiles_close(spark):
     assert ex == 2499.5 and abs(ap - ex) <= 1.0
 
 
-def test_exact_quantiles_both_paths_agree(spark):
-    df = spark.range(0, 3001).withColumn("g", (F.col("id") % 4).cast("int")).withColumn("v", F.cos("id") * 7)
-    a = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75]).collect()}
-    b = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.75], small_group_rows=10).collect()}
+def test_exact_quantiles_equal_percentile(spark):
+    # a value that nine tenths of the rows share, nulls and NaN, and a group of one
+    df = spark.range(0, 3001).withColumn("g", F.when(F.col("id") == 7, 99).otherwise((F.col("id") % 4)).cast("int")).withColumn(
+        "v", F.when(F.col("id") % 10 != 0, 0.0).when(F.col("id") % 50 == 0, F.lit(float("nan")))
+        .when(F.col("id") % 70 == 0, None).otherwise(F.cos("id") * 7))
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    a = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    clean = df.where(~F.isnan("v") & F.col("v").isNotNull())
+    b = {(r.g, p): q for r in clean.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect() for p, q in zip(probs, r.q)}
+    one = {r.p: r.q for r in exact_quantiles(df, [], "v", probs).collect()}
+    all_of = dict(zip(probs, clean.agg(F.percentile("v", probs)).first()[0]))
+    assert one.keys() == all_of.keys() and all(abs(one[p] - all_of[p]) < 1e-9 for p in probs)
     assert a.keys() == b.keys()
     assert all(abs(a[key] - b[key]) < 1e-9 for key in a)
 
 
-def test_wide_correlation_paths_agree(spark):
+def test_correlation_does_not_depend_on_the_width(spark):
     import tessera.operators.profile as pf
-    df = spark.range(0, 300).select(*[(F.sin(F.col("id") * (i + 1)) + F.col("id") % (i + 2)).alias(f"c{i}")
-                                      for i in range(6)])
-    cols = df.columns
-    narrow = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(df, cols).collect()}
-    old_w, old_p = pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS
-    try:
-        pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS = 2, 4
-        ml = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(df, cols).collect()}
-        with_null = df.withColumn("c0", F.when(F.col("c1") > 1, F.col("c0")))
-        batched = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(with_null, cols).collect()}
-    finally:
-        pf.WIDE_CORR_COLUMNS, pf.PAIRS_PER_PASS = old_w, old_p
-    ref_null = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(with_null, cols).collect()}
-    assert narrow.keys() == ml.keys() and len(ml) == 36
-    assert all(abs(narrow[k] - ml[k]) < 1e-9 for k in narrow)
-    assert batched.keys() == ref_null.keys()
-    assert all(abs(batched[k] - ref_null[k]) < 1e-12 for k in batched)
+    base = spark.range(0, 200).select((F.sin("id") * 3).alias("x"), F.lit(5.0).alias("const"),
+                                      (F.cos("id") * 1e-17).alias("tiny"), F.when(F.col("id") % 3 != 0, F.col("id") * 1.0).alias("gaps"))
+    narrow = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(base, base.columns).collect()}
+    wide = base.select("*", *[(F.sin(F.col("x") * (i + 1))).alias(f"w{i}") for i in range(56)])
+    got = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(wide, wide.columns).collect()}
+    assert len(got) == 60 * 60 and all(got[k] == v or abs(got[k] - v) < 1e-12 for k, v in narrow.items() if v is not None)
+    assert all(got[k] is None for k, v in narrow.items() if v is None)
+    assert narrow[("const", "const")] is None and got[("const", "x")] is None
+
