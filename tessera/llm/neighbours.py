@@ -7,7 +7,8 @@ string (64 signs of seeded random projections); sorted, the strings of a tree
 are a prefix tree.  A query descends in every tree to the longest prefixes
 that others share, and ascends in all trees together, one sign at a time,
 until the vectors below its prefixes number at least ``share`` times the
-index (counted once per tree that holds them).  All of those are compared
+index (counted once per tree that holds them), and hold ``k`` + 1 different
+ones.  All of those are compared
 with the query in double precision.
 
 In Spark: the numbers of vectors below each prefix (up to ``levels`` signs)
@@ -147,13 +148,15 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     index = written(_strings(groups.select("g", "e"), trees, seed, longest, dim, False), "forest")
     asked = written(_strings(groups.join(asked_ids.select("g").distinct(), "g", "left_semi").select("g", "e"),
                              trees, seed, longest, dim, True), "asked")
+    # trees x (k + 1) in all trees together are k + 1 in one of them at least; at the root a query sees everything
+    enough = min(trees * n, max(share * n, trees * (k + 1)))
     # vectors below each prefix of up to `levels` signs: at most trees x 2^(levels + 1) rows
     finest = index.groupBy("tree", _prefix(levels).alias("p")).agg(F.count("*").alias("n"))
     by_level = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright("p", levels - x).alias("p")) for x in range(levels + 1)]))
     counts = (finest.select("tree", "n", by_level.alias("x")).groupBy("tree", "x.level", "x.p").agg(F.sum("n").alias("n")))
     seen = (asked.select("g", "tree", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), _prefix(x).alias("p")) for x in range(levels + 1)]))
                          .alias("x")).select("g", "tree", "x.level", "x.p").join(counts, ["tree", "level", "p"]))
-    level = (seen.groupBy("g", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(min(share, float(trees)) * n))
+    level = (seen.groupBy("g", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(float(enough)))
              .groupBy("g").agg(F.max("level").alias("level")))
     # blocks: leading signs so that an even block holds about half of block_rows; fuller ones are split
     cut = int(min(levels, max(0, np.ceil(np.log2(max(1.0, 2.0 * n / block_rows))))))
