@@ -1,8 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Every document is a bag of hashed features: its words and the 3- and
-4-character n-grams of each word, where the white space on either side of a
-word counts as a boundary character.  Each hash bucket has a learned vector;
+Every document is a bag of hashed features: its words, its pairs of
+neighbouring words (hashed by exclusive-or, so that every immediate
+repetition is the same feature), and the 3- and 4-character n-grams of each
+word, where the white space on either side of a word counts as a boundary
+character.  Each hash bucket has a learned vector;
 a document is the average of its features' vectors and a softmax layer turns
 the average into class probabilities.  Training is plain stochastic gradient
 descent in numpy over a bounded sample of labelled rows
@@ -64,8 +66,13 @@ def hashed_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray
     first, last = first[keep], last[keep]
     if len(first):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c * _powers(_BASE, len(c)), dtype=np.uint64)))
-        ids.append(_bucket((total[last] - total[first]) * _powers(_BASE_INV, len(c))[first], bits))
+        word = (total[last] - total[first]) * _powers(_BASE_INV, len(c))[first]
+        ids.append(_bucket(word, bits))
         at.append(first)
+        # pairs of neighbouring words of a text, by the exclusive-or of their hashes: any word repeated gives one bucket
+        same = np.diff(np.searchsorted(starts, first, side="right")) == 0
+        ids.append(_bucket((word[1:] ^ word[:-1])[same] + np.uint64(1), bits))
+        at.append(first[1:][same])
     for n in GRAMS:
         m = len(c) - n + 1
         if m <= 0:
@@ -129,8 +136,9 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 
 
 def train_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int, dim: int = 8,
-              epochs: int = 6, lr: float = 2.0, seed: int = 42) -> Model:
-    """bags: per document its distinct bucket ids and their counts."""
+              updates: int = 24_000, lr: float = 2.0, seed: int = 42) -> Model:
+    """bags: per document its distinct bucket ids and their counts.  As many
+    passes over them as make about ``updates`` updates."""
     rng = np.random.default_rng(seed)
     share = float(y.mean()) if len(y) else 0.5
     if not 0.0 < share < 1.0:
@@ -138,6 +146,7 @@ def train_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: in
         return Model(bits, np.zeros(1 << bits, np.float32), logit)
     emb = rng.uniform(-1.0 / dim, 1.0 / dim, size=(1 << bits, dim))
     w, b = np.zeros((2, dim)), np.zeros(2)
+    epochs = -(-updates // len(bags))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):

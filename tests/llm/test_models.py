@@ -17,8 +17,10 @@ def test_features_equal_plain_counting():
     for k, t in enumerate(texts):
         words = [w for w in __import__("re").split(r"[\s\x85]+", t) if w]
         spaced = [" " + w + " " for w in words]
-        n = len(words) + sum(max(0, len(s) - g + 1) for s in spaced for g in quality.GRAMS)
+        n = len(words) + max(0, len(words) - 1) + sum(max(0, len(s) - g + 1) for s in spaced for g in quality.GRAMS)
         assert (owner == k).sum() == n
+    repeated = [quality.hashed_features([w + " " + w], 18)[0].tolist() for w in ("abc", "xyz")]
+    assert set(repeated[0]) & set(repeated[1])                  # a repetition is a feature of its own
     one, _ = quality.hashed_features(["abc"], 18)
     three, at = quality.hashed_features(["zz", "abc"], 18)
     assert sorted(one) == sorted(three[at == 1])
