@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import argmax_index
 from tessera.operators.prep import _bounded_collect
 from tessera.plans.views import CLASSES
+from tessera.sources import files, sinks
 
 # Request field defaults and accepted ranges (form sliders).
 REQUEST_DEFAULTS = {"depression": 15.0, "anxiety": 20.0, "stress": 19.0, "sleep": 5.0}
 REQUEST_RANGES = {"depression": (0.0, 50.0), "anxiety": (0.0, 50.0), "stress": (0.0, 50.0), "sleep": (1.0, 10.0)}
+# Texts shown to the user.
 MISSING_INPUT_MSG = "Error: Please upload both an audio and image sample."
 RESULT_PREFIX = "Mental Health Status: "
 REQUEST_FEATURES = ["depression", "anxiety", "stress", "sleep", "heart_rate_bpm"]
@@ -97,9 +99,26 @@ def score_requests(req: DataFrame, scaler: dict, keep=()) -> DataFrame:
                      "pred_label", *keep)
 
 
-def score_batch(req: DataFrame, keep=()) -> DataFrame:
-    scaler = fit_request_scaler(validated(req).where(F.col("err").isNull()))
-    return score_requests(req, scaler, keep)
+def save_request_state(history: DataFrame, path: str) -> str:
+    """Fit the scaler on past requests (the valid ones) and write it as a
+    parameter table."""
+    scaler = fit_request_scaler(validated(history).where(F.col("err").isNull()))
+    rows = history.sparkSession.createDataFrame([(c, *map(float, scaler[c])) for c in REQUEST_FEATURES],
+                                                "feature string, mean double, scale double")
+    return sinks.write_params(sinks.params_long(scale=rows), path)
+
+
+def load_request_state(spark: SparkSession, path: str) -> dict:
+    """The scaler that ``save_request_state`` wrote: feature to (mean, scale)."""
+    rows = _bounded_collect(files.read_params(spark, path, "scale"), 1000)
+    got = {(r["key"], r["name"]): r["value"] for r in rows}
+    return {c: (got[(c, "mean")], got[(c, "scale")]) for c in REQUEST_FEATURES}
+
+
+def score_batch(req: DataFrame, state: str, keep=()) -> DataFrame:
+    """Score requests with stored state: one request's answer does not depend
+    on the others of its batch."""
+    return score_requests(req, load_request_state(req.sparkSession, state), keep)
 
 
 def external_model_scores(df: DataFrame, make_predict, vec: str, widths, batch_size: int = 256,

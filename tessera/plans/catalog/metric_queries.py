@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import metrics as mt, prep
+from tessera.plans import evaluation as ev
 from tessera.plans.catalog.prep_queries import FOLD_CTES, cls_folds
 from tessera.plans.catalog.registry import query, r6
 from tessera.plans.preprocess import r6 as R6
@@ -85,8 +86,18 @@ def q_cross_entropy(spark, sf):
     v = Views(spark, sf)
     idx = prep.label_index(v.v_cls(), "label")
     p = v.v_pred().join(idx.withColumnRenamed("label", "y_true"), "y_true")
-    pt = F.element_at("scores", F.col("idx") + 1)
-    return p.agg(F.count(F.lit(1)).alias("n"), R6(F.avg(-F.ln(F.greatest(pt, F.lit(1e-12))))).alias("loss"))
+    return mt.cross_entropy(p, "idx", probs="scores").select("n", R6(F.col("loss")).alias("loss"))
+
+
+@query("cross_entropy_logits", f"""SELECT count(*) AS n, {r6("avg(ln(list_sum(list_transform(scores, lambda s: exp(s * 5)))) - scores[i.idx + 1] * 5)")} AS loss
+    FROM v_pred p JOIN {_IDX} i ON p.y_true = i.label""")
+def q_cross_entropy_logits(spark, sf):
+    """The loss from logits (five times the scores) instead of probabilities."""
+    v = Views(spark, sf)
+    idx = prep.label_index(v.v_cls(), "label")
+    p = prep.label_encode(v.v_pred().withColumnRenamed("y_true", "label"), "label", idx)
+    p = p.select("idx", F.transform("scores", lambda s: s * 5).alias("logits"))
+    return mt.cross_entropy(p, "idx", logits="logits").select("n", R6(F.col("loss")).alias("loss"))
 
 
 _METRICS = ["accuracy", "macro_precision", "macro_recall", "macro_f1"]
@@ -117,9 +128,8 @@ def q_best_model(spark, sf):
 def q_fold_summary(spark, sf):
     f = cls_folds(spark, sf).select("id", "fold")
     p = Views(spark, sf).v_pred()
-    fa = f.join(p, "id").groupBy("fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("acc"))
-    return fa.agg(F.count(F.lit(1)).alias("n_folds"), R6(F.avg("acc")).alias("mean_acc"),
-                  R6(F.stddev_pop("acc")).alias("std_acc"))
+    fa = f.join(p, "id").groupBy("fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
+    return ev.fold_summary(fa).select("n_folds", R6(F.col("mean_acc")).alias("mean_acc"), R6(F.col("std_acc")).alias("std_acc"))
 
 
 @query("argmax_class", "SELECT id, CAST(list_position(vec, list_max(vec)) - 1 AS INTEGER) AS argmax FROM v_img")

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.hashing import hash_key, sql_hash
 from tessera.operators import score as sc
 from tessera.plans.catalog.registry import query, r6
 from tessera.plans.preprocess import r6 as R6
 from tessera.plans.views import CLASSES, Views
+from tessera.session import scratch_path
 
 
 def _range_sql():
@@ -36,7 +38,7 @@ SCORE_CTES = f"""req AS (SELECT id, audio_path, image_path, """ + ", ".join(
             CASE WHEN audio_path IS NULL OR audio_path = '' OR image_path IS NULL OR image_path = ''
                  THEN '{sc.MISSING_INPUT_MSG}' ELSE {_range_sql()} END AS err FROM req),
   prm AS (SELECT """ + ", ".join(
-    f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s_{c}" for c in _F) + f""" FROM chk WHERE err IS NULL),
+    f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s_{c}" for c in _F) + f""" FROM chk WHERE err IS NULL AND {sql_hash('id', "'history'")} % 2 = 0),
   zz AS (SELECT id, """ + ", ".join(f"round(({c} - m_{c}) / s_{c}, 9) AS z_{c}" for c in _F) + f""" FROM chk, prm WHERE err IS NULL),
   pr AS (SELECT id, {_classes_sql}[list_position(lg, list_max(lg))] AS pred_label
          FROM (SELECT id, {_logit_sql([f'z_{c}' for c in _F])} AS lg FROM zz) l),
@@ -72,15 +74,21 @@ def q_range_validate(spark, sf):
     return r.select("id", e.isNull().alias("valid"), e.alias("reason"))
 
 
+def request_state(spark, sf) -> str:
+    """Stored state, fitted on the half of the requests that count as history."""
+    history = Views(spark, sf).v_req().where(hash_key(F.col("id"), "history") % 2 == 0)
+    return sc.save_request_state(history, scratch_path(spark, "request-state"))
+
+
 @query("score_linear", f"WITH {SCORE_CTES} SELECT id, result, pred_label FROM scored")
 def q_score_linear(spark, sf):
-    return sc.score_batch(Views(spark, sf).v_req())
+    return sc.score_batch(Views(spark, sf).v_req(), request_state(spark, sf))
 
 
 def _scored_events(spark, sf):
     """Scored requests beside their event type (the 'true folder')."""
     v = Views(spark, sf)
-    return sc.score_batch(v.v_req(keep=("event_type",)), keep=("event_type",)).where(F.col("pred_label").isNotNull())
+    return sc.score_batch(v.v_req(keep=("event_type",)), request_state(spark, sf), keep=("event_type",)).where(F.col("pred_label").isNotNull())
 
 
 _DIST_CTES = f"""WITH {SCORE_CTES},

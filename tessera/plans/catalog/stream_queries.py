@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tessera.operators import score as sc
 from tessera.plans.catalog.registry import query
-from tessera.plans.catalog.score_queries import SCORE_CTES
+from tessera.plans.catalog.score_queries import SCORE_CTES, request_state
 from tessera.plans.views import Views
 from tessera.session import scratch_path
 from tessera.streaming.scoring import read_scored, score_stream
@@ -18,6 +16,6 @@ def q_stream_score(spark, sf):
     inbox = scratch_path(spark, "requests")
     # the arriving requests: several files, as a request log would land
     req.repartition(4, "id").write.mode("overwrite").parquet(inbox)
-    scaler = sc.fit_request_scaler(sc.validated(req).where(F.col("err").isNull()))
+    scaler = sc.load_request_state(spark, request_state(spark, sf))
     out = score_stream(spark, inbox, req.schema, scaler, max_files_per_trigger=2)
     return read_scored(spark, out)

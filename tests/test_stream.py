@@ -31,3 +31,12 @@ def test_restart_is_exactly_once(spark):
     assert got.select("id").distinct().count() == req.count()
     batch = sc.score_requests(req, scaler)
     assert got.exceptAll(batch).count() == 0
+
+
+def test_one_request_alone_equals_the_batch(spark):
+    req = Views(spark, SF_SMALL).v_req()
+    state = sc.save_request_state(req.where(F.col("id") % 2 == 0), scratch_path(spark, "state"))
+    batch = {r.id: (r.result, r.pred_label) for r in sc.score_batch(req, state).collect()}
+    for i in (3, 17, 101, 250):
+        one = sc.score_batch(req.where(F.col("id") == i), state).collect()
+        assert [(r.id, (r.result, r.pred_label)) for r in one] == [(i, batch[i])]
