@@ -37,13 +37,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 1_000_000
 CACHE_WORDS = 1_000_000          # distinct words whose ids a bucket's task keeps
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93           # odd: invertible mod 2^64
@@ -165,7 +166,7 @@ def blocks(batches, text_col: str):
     """(block id, Arrow rows, Block) for the documents of a task, in order."""
     number, rows, chars = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
-        size = [len(t) if t else 0 for t in batch.column(text_col).to_pylist()]
+        size = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()
         a = 0
         for b, n in enumerate(size):
             if chars and chars + n > BLOCK_CHARS:
@@ -368,6 +369,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
     @F.arrow_udf("binary")
     def joined(ids: pa.Array) -> pa.Array:
         token = shared.value.__getitem__
-        return pa.array([b"".join(map(token, x)) if x else b"" for x in ids.to_pylist()], pa.binary())
+        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+        return pa.array([b"".join(map(token, values[a:z].tolist())) for a, z in zip(ends, ends[1:])], pa.binary())
 
-    return df.withColumn(out_col, joined(F.col(ids_col)))
+    return df.withColumn(out_col, joined(F.coalesce(F.col(ids_col), F.expr("cast(array() as array<int>)"))))
