@@ -9,10 +9,10 @@ texts, made by the same expressions, so only an entire text can match.
 
 Entire texts are, for each row: the whole document, and each of its lines,
 because short notices ("Released under the MIT License.") stand on lines of
-their own.  Lines are exploded without any cap, but a line can match only if
-its canonical length is that of some known text, so a cheap length filter
-runs before any digest is taken.  Matches are few; they are joined to the
-known table (a fixed list, broadcast) before the only shuffle.
+their own.  Lines are exploded without any cap; a pattern that every text of
+the list below holds (``HINT``) spares the others the canonical form, and a
+length that no known text has spares the digest.  Matches are few; they are
+joined to the known table (a fixed list, broadcast) before the only shuffle.
 
 DataFrame functions only.
 
