@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.quality import chunks
+
 UNKNOWN = 1e-9                   # probability of a character that is no piece
 CACHE_WORDS = 400_000            # distinct words a task keeps before it starts afresh
 _B = np.uint64(0x100000001B3)
@@ -162,8 +164,11 @@ def fit(labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
               if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     shared = labelled.sparkSession.sparkContext.broadcast(raw)
     rows = (labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-            .where("lang is not null and text is not null and id is not null")
-            .withColumn("k", F.xxhash64(F.lit("langid"), "id")).orderBy("k", "id", "lang").limit(max_train_docs))
+            .where("lang is not null and text is not null and id is not null"))
+    # the sample is drawn from ids alone; only its rows' texts leave the scan
+    sample = (rows.select("id", "lang").withColumn("k", F.xxhash64(F.lit("langid"), "id")).orderBy("k", "id", "lang")
+              .limit(max_train_docs).select("id", "lang").distinct())
+    rows = rows.join(F.broadcast(sample), ["id", "lang"], "left_semi")                 # at most max_train_docs rows
 
     def counted(it):
         sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
@@ -191,7 +196,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
     @F.pandas_udf("lang string, score double")
     def predicted(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
-        for langs, scores in own.predict(s.tolist() for s in it):
+        for langs, scores in own.predict(texts[i:j] for texts in map(pd.Series.tolist, it)
+                                         for i, j in chunks([t or "" for t in texts])):
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     hidden = "__langid"
