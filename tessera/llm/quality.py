@@ -8,8 +8,7 @@ character.  Each hash bucket has a learned vector;
 a document is the average of its features' vectors and a softmax layer turns
 the average into class probabilities.  Training is plain stochastic gradient
 descent in numpy over a bounded sample of labelled rows
-(``max_train_docs``), whose features Spark extracts; scoring covers every
-whole text.
+(``max_train_docs``), in one task; scoring covers every whole text.
 
 The output layer is linear in the average, so for scoring each bucket is
 folded into one number per class pair (its vector times the weight
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1_000_000          # characters hashed at once: bounds a task's memory
+CHUNK_CHARS = 300_000          # characters hashed at once: bounds a task's memory
 GRAMS = (3, 4)
 _BASE = np.uint64(0x9E3779B97F4A7C15)                    # odd, so invertible mod 2^64
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -141,7 +140,7 @@ def train_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: in
     passes over them as make about ``updates`` updates."""
     rng = np.random.default_rng(seed)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0.0 < share < 1.0:
+    if not len(y) or not 0.0 < share < 1.0:
         logit = 0.0 if not len(y) else (8.0 if share == 1.0 else -8.0)
         return Model(bits, np.zeros(1 << bits, np.float32), logit)
     emb = rng.uniform(-1.0 / dim, 1.0 / dim, size=(1 << bits, dim))
@@ -169,7 +168,7 @@ def train_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: in
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
-        max_train_docs: int = 4000, bits: int = 18, **sgd) -> Model:
+        max_train_docs: int = 2500, bits: int = 18, **sgd) -> Model:
     """Learn from at most ``max_train_docs`` rows of ``labelled`` (the rows of
     the smallest id hashes, so the sample is the same on every run)."""
     rows = (labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
@@ -177,26 +176,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = rows.withColumn("k", F.xxhash64(F.lit("quality"), F.col("id").cast("string")))
     rows = rows.orderBy("k", F.col("id").cast("string"), "y").limit(max_train_docs)
 
-    def bags(it):
+    def learned(it):
+        parts = []
         for pdf in it:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            ids_out, cnt_out = [], []
             for i, j in chunks(texts):
                 ids, owner = hashed_features(texts[i:j], bits)
                 order = np.argsort(owner, kind="stable")
                 ids, owner = ids[order], owner[order]
                 cut = np.searchsorted(owner, np.arange(j - i + 1))
-                for a, z in zip(cut[:-1], cut[1:]):
-                    u, n = np.unique(ids[a:z], return_counts=True)
-                    ids_out.append(u.astype("<i4").tobytes())
-                    cnt_out.append(n.astype("<i4").tobytes())
-            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "ids": ids_out, "cnt": cnt_out})
+                for n, (a, z) in enumerate(zip(cut[:-1], cut[1:]), start=i):
+                    u, c = np.unique(ids[a:z], return_counts=True)
+                    parts.append((int(pdf["k"].iloc[n]), int(pdf["y"].iloc[n]), u.astype(np.uint32), c.astype(np.uint32)))
+        parts.sort(key=lambda x: x[:2])
+        model = train_sgd([x[2:] for x in parts], np.array([x[1] for x in parts], dtype=float), bits, **sgd)
+        yield pd.DataFrame({"weights": [model.table.tobytes()], "bias": [model.bias]})
 
-    got = rows.select("k", "y", "text").mapInPandas(bags, "k long, y int, ids binary, cnt binary").toPandas()
-    got = got.sort_values(["k", "y"], kind="stable")
-    pairs = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(float))
-             for a, c in zip(got["ids"], got["cnt"])]
-    return train_sgd(pairs, got["y"].to_numpy(dtype=float), bits, **sgd)
+    # the bounded sample is one partition: its task extracts features and trains, and returns the folded table
+    got = rows.select("k", "y", "text").repartition(1).mapInPandas(learned, "weights binary, bias double").collect()
+    if not got:
+        return train_sgd([], np.zeros(0), bits)
+    return Model(bits, np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["bias"])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -211,7 +211,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
 
 
 def fit_on_labels(documents: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0,
-                  max_train_docs: int = 4000, **kw) -> Model:
+                  max_train_docs: int = 2500, **kw) -> Model:
     """Learn from ``labels.quality`` of the documents that are not held out.
     The bounded sample is drawn from the narrow label table first, so only
     its documents' texts are read into the training job."""
