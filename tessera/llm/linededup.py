@@ -1,16 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed; a line is rare if few documents hold it (``rare_df``), and
-long if it has ``min_words`` words.  Two documents overlap if they share a
-rare or a long line.  For each such line its later holders are paired with
-its first holder, so a line with n holders gives n - 1 pairs however large n
-is, and every later occurrence has a partner.  The lines of a pair that occur
-in more than one document are aligned by patience diff: common ends first,
-then the longest increasing run of lines that are unique on both sides, then
-the gaps between them in the same way.  A block is a run of aligned lines
-that follow one another on both sides (blank lines aside); blocks of at least
-``min_words`` words are deleted from the later document.  The first holder of
-a block keeps it.
+Lines are hashed, and so are the shortest runs of consecutive lines (blank
+lines aside) that reach ``min_words`` words, from each line on and up to each
+line.  Two documents overlap if they share a run.  For each run its later
+holders are paired with its first holder, so a run with n holders gives n - 1
+pairs however large n is, every later occurrence has a partner, and every
+block of ``min_words`` words gives pairs however frequent its lines are.
+The lines of a pair that stand in runs of more than one document are aligned
+by patience diff: common ends first, then the longest increasing run of lines
+that are unique on both sides, then the gaps between them in the same way.  A
+block is a run of aligned lines that follow one another on both sides; blocks
+of at least ``min_words`` words are deleted from the later document.  The
+first holder of a block keeps it.
 
 Documents are ordered by id, then by a hash of the text.  Only line hashes,
 positions and word counts are shuffled; the texts meet the list of deleted
@@ -27,7 +28,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,30 +117,70 @@ def removed(first: list, later: list, min_words: int) -> list[int]:
     return out
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, ord, pos, h, w): the lines with words, of each distinct document."""
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines with ``min_words`` words, from
+    each line on and up to each line.  Every line of a block of ``min_words``
+    words stands in a run within that block."""
+    upto = [0]
+    for w in words:
+        upto.append(upto[-1] + w)
+    out, n, e = [], len(words), 0
+    for s in range(n):
+        e = max(e, s + 1)
+        while e <= n and upto[e] - upto[s] < min_words:
+            e += 1
+        if e > n:
+            break
+        out.append((s, e))
+    seen, s = set(out), 0
+    for e in range(1, n + 1):
+        while s + 1 < e and upto[e] - upto[s + 1] >= min_words:
+            s += 1
+        if upto[e] - upto[s] >= min_words and (s, e) not in seen:
+            out.append((s, e))
+    return out
+
+
+def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, th, pos, h, w, runs): the lines with words of each document, and its
+    runs of ``min_words`` words as (hash, first line, last line)."""
     own = (df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t"))
            .where("t is not null").withColumn("th", F.xxhash64("t")))
-    parts = own.select("id", "th", F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(
-        i.alias("pos"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))).alias("parts"))
-    return (parts.select("id", "th", F.posexplode(F.filter("parts", lambda x: x["w"] > 0)).alias("ord", "x"))
-            .select("id", "th", "ord", "x.pos", "x.h", "x.w"))
+    parts = own.select("id", "th", F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(
+        i.alias("pos"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda x: x["w"] > 0).alias("parts"))
+    cols = parts.select("id", "th", "parts.pos", "parts.h", "parts.w")
+
+    def with_runs(batches):
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+        for batch in batches:
+            got = []
+            for h, w in zip(batch.column("h"), batch.column("w")):
+                raw = np.asarray(h.values, "int64").tobytes()
+                got.append([(xxhash.xxh64_intdigest(raw[8 * s:8 * e]) - 2 ** 63, s, e - 1) for s, e in runs(w.as_py(), min_words)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*batch.schema.names, "runs"])
+
+    return cols.mapInArrow(with_runs, "id long, th long, pos array<int>, h array<long>, w array<int>, "
+                                      "runs array<struct<h:long,lo:int,hi:int>>")
 
 
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10,
               rare_df: int = 50) -> DataFrame:
-    """(id, th, gone): positions of the lines that each document loses."""
-    lines = written(_lines(df, id_col, text_col), "lines")
+    """(id, th, gone): positions of the lines that each document loses.
+    ``rare_df`` is without effect: runs pair documents whatever their lines' frequency."""
+    lines = written(_lines(df, id_col, text_col, min_words), "lines")
     key = F.struct("id", "th")
-    # the number of documents is counted by line and document first, so a frequent line is combined before the shuffle
-    stats = (lines.groupBy("h").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
-             .where("first != last"))
-    stats = written(stats.select("h", "first", "n"), "repeated")
-    again = written(lines.join(stats, "h"), "again")
-    anchor = (F.col("w") >= min_words) | (F.col("n") <= rare_df)
-    pairs = (again.where(anchor & ((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th"))))
+    held = lines.select("id", "th", F.inline("runs").alias("h", "lo", "hi"))
+    # a frequent run is combined before the shuffle
+    stats = held.groupBy("h").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first != last")
+    again = written(held.join(written(stats.select("h", "first"), "repeated"), "h").drop("h"), "again")
+    pairs = (again.where((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
              .select("id", "th", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th")).distinct())
-    seqs = written(again.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("ord", "pos", "h", "w"))).alias("seq")), "seqs")
+    kept = (again.select("id", "th", F.explode(F.sequence("lo", "hi")).alias("ord"))
+            .groupBy("id", "th").agg(F.sort_array(F.collect_set("ord")).alias("ords")))
+    seqs = (lines.select("id", "th", "pos", "h", "w").join(kept, ["id", "th"])
+            .select("id", "th", F.transform("ords", lambda o: F.struct(
+                o.alias("ord"), F.get("pos", o).alias("pos"), F.get("h", o).alias("h"), F.get("w", o).alias("w"))).alias("seq")))
+    seqs = written(seqs.dropDuplicates(["id", "th"]), "seqs")
     both = (pairs.join(seqs.select(F.col("id").alias("first_id"), F.col("th").alias("first_th"), F.col("seq").alias("a")),
                        ["first_id", "first_th"])
             .join(seqs.withColumnRenamed("seq", "b"), ["id", "th"]))

@@ -67,3 +67,13 @@ def test_cases(make, empty):
     assert by[4] == [(None, 0)] and by[5] == [("", 0)] and by[6] == [("\n\n", 0)] and by[None] == [("mine", 5)]
     assert by[7] == by[8] == [("a short line", 0)] and by[9] == [("x " * 200_000, 0)]
     assert linededup.dedup_lines(empty).collect() == []
+
+
+def test_frequent_short_lines(make):
+    """A passage of lines under min_words goes whatever its number of holders."""
+    verse = "\n".join(f"verse {k} has eight words in its line" for k in range(8))
+    rows = [(i, f"own opening {i}\n{verse}\nown ending {i}") for i in range(120)] + [(i, verse) for i in range(200, 260)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(make(rows)).collect()}
+    assert got[0] == (rows[0][1], 0)
+    assert all(got[i] == (f"own opening {i}\nown ending {i}", 8) for i in range(1, 120))
+    assert all(got[i] == ("", 8) for i in range(200, 260))
