@@ -10,8 +10,10 @@ The lines of a pair that stand in runs of more than one document are aligned
 by patience diff: common ends first, then the longest increasing run of lines
 that are unique on both sides, then the gaps between them in the same way.  A
 block is a run of aligned lines that follow one another on both sides; blocks
-of at least ``min_words`` words are deleted from the later document.  The
-first holder of a block keeps it.
+of at least ``min_words`` words are deleted from the later document.  What the
+alignment leaves over (lines that repeat, blocks in another order) is matched
+run by run.  So a line goes exactly if it stands in a block of ``min_words``
+words that any earlier document holds; the first holder of a block keeps it.
 
 Documents are ordered by id, then by a hash of the text.  Only line hashes,
 positions and word counts are shuffled; the texts meet the list of deleted
@@ -96,27 +98,6 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def removed(first: list, later: list, min_words: int) -> list[int]:
-    """Positions that ``later`` loses to ``first``; both are lists of (ordinal
-    among the document's lines with words, position, hash, words)."""
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-
-    def close():
-        if sum(later[j][3] for _, j in block) >= min_words:
-            out.extend(later[j][1] for _, j in block)
-
-    for i, j in aligned([x[2] for x in first], [x[2] for x in later]):
-        if block:
-            p, q = block[-1]
-            if first[i][0] != first[p][0] + 1 or later[j][0] != later[q][0] + 1:
-                close()
-                block = []
-        block.append((i, j))
-    close()
-    return out
-
-
 def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
     """(start, end) of the shortest runs of lines with ``min_words`` words, from
     each line on and up to each line.  Every line of a block of ``min_words``
@@ -141,6 +122,44 @@ def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return out
 
 
+def _stretches(lines: list, min_words: int) -> list[tuple[int, int]]:
+    """``runs`` of lines whose ordinals follow one another."""
+    out, s = [], 0
+    for e in range(1, len(lines) + 1):
+        if e == len(lines) or lines[e][0] != lines[e - 1][0] + 1:
+            out += [(s + i, s + j) for i, j in runs([x[3] for x in lines[s:e]], min_words)]
+            s = e
+    return out
+
+
+def removed(first: list, later: list, min_words: int) -> list[int]:
+    """Positions that ``later`` loses to ``first``; both are lists of (ordinal
+    among the document's lines with words, position, hash, words)."""
+    gone: set[int] = set()
+    block: list[tuple[int, int]] = []
+
+    def close():
+        if sum(later[j][3] for _, j in block) >= min_words:
+            gone.update(j for _, j in block)
+
+    a, b = [x[2] for x in first], [x[2] for x in later]
+    for i, j in aligned(a, b):
+        if block:
+            p, q = block[-1]
+            if first[i][0] != first[p][0] + 1 or later[j][0] != later[q][0] + 1:
+                close()
+                block = []
+        block.append((i, j))
+    close()
+    left = [(s, e) for s, e in _stretches(later, min_words) if not gone.issuperset(range(s, e))]
+    if left:
+        held = {tuple(a[s:e]) for s, e in _stretches(first, min_words)}
+        for s, e in left:
+            if tuple(b[s:e]) in held:
+                gone.update(range(s, e))
+    return [later[j][1] for j in sorted(gone)]
+
+
 def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, th, pos, h, w, runs): the lines with words of each document, and its
     runs of ``min_words`` words as (hash, first line, last line)."""

@@ -77,3 +77,37 @@ def test_frequent_short_lines(make):
     assert got[0] == (rows[0][1], 0)
     assert all(got[i] == (f"own opening {i}\nown ending {i}", 8) for i in range(1, 120))
     assert all(got[i] == ("", 8) for i in range(200, 260))
+
+
+def blocks(docs, min_words):
+    """Each document against every earlier one: every run of lines, in any place and order."""
+    seqs = {i: [(p, x.rstrip(" "), len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for i, t in docs.items()}
+    out = {i: set() for i in docs}
+    for i in docs:
+        for a in (a for a in docs if a < i):
+            for s in range(len(seqs[i])):
+                for t in range(len(seqs[a])):
+                    n = 0
+                    while s + n < len(seqs[i]) and t + n < len(seqs[a]) and seqs[i][s + n][1] == seqs[a][t + n][1]:
+                        n += 1
+                    if sum(w for _, _, w in seqs[i][s:s + n]) >= min_words:
+                        out[i] |= {p for p, _, _ in seqs[i][s:s + n]}
+    return out
+
+
+def test_every_block_of_any_earlier_document(make):
+    rng = random.Random(5)
+    lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 12))) for _ in range(14)]
+    docs = {i: "\n".join(rng.choice(lines) if rng.random() < 0.8 else rng.choice(["", f"own line {i} {k}"])
+                         for k in range(rng.randrange(1, 20))) for i in range(50)}
+    a, b, c, d = (f"{x} and four more words" for x in "abcd")
+    docs |= {100: a, 101: b, 102: c, 103: d,                                    # each line has its own first holder
+             105: f"{a}\n{b}\n{c}", 109: f"x\n{a}\n{b}\n{c}", 110: f"{c}\n{d}\n{a}\n{b}",
+             111: f"{a}\n{b}\n{a}\n{b}\n{d}", 112: f"{c}\n{d}\n\n{a}\n{a}\n{b}"}
+    want = blocks(docs, 10)
+    assert want[109] == {1, 2, 3} and want[110] == {2, 3} and want[111] == {0, 1, 2, 3} and want[112] == {0, 1, 3, 4, 5}
+    assert sum(map(len, want.values())) > sum(map(len, brute(docs, 10).values()))
+    for r in linededup.dedup_lines(make(list(docs.items()))).collect():
+        kept = [x for p, x in enumerate(docs[r["doc_id"]].split("\n")) if p not in want[r["doc_id"]]]
+        assert r["n_removed"] == len(want[r["doc_id"]])
+        assert r["text"] == ("" if want[r["doc_id"]] and not "".join(kept).strip() else "\n".join(kept))
