@@ -73,6 +73,15 @@ MARK = re.compile(
     r"modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|disqus|reply|replies|respond|related|recommended|"
     r"share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|widget|widgets|search|form|copyright|legal|disclaimer|skip|hidden)"
     r"(?:$|[\s_-])", re.I)
+# words after these describe a layout, not the element itself
+MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without|left|right)[_-]+[^\s_-]+", re.I)
+# regions that hold articles other than the page's own, and stay regions inside an article whatever the element
+OTHERS = re.compile(
+    r"(?:^|[\s_-])(?:sidebar|aside|ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|newsletter|comment|"
+    r"comments|disqus|reply|replies|respond|related|recommended|widget|widgets|nav|navbar|navigation|menu|menus|footer|popup|modal|"
+    r"overlay)(?:$|[\s_-])", re.I)
+# elements of running text
+PROSE = set("p section h1 h2 h3 h4 h5 h6 blockquote pre table figure dl".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article-body|post-body|entry-content|post-content|article-content|main-content)(?:$|[\s_-])", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -92,15 +101,22 @@ def _hash(path: int, word: str) -> int:
 
 class Page:
     """Tokens of a page, and its texts: for each text node (text, block
-    number, first token, last token + 1, dropped, inside the article)."""
+    number, first token, last token + 1, dropped, inside the article).
 
-    def __init__(self, html: str):
+    ``spared`` holds elements, by number, that class words do not drop.
+    ``holders`` are those that were dropped by class words alone although an
+    article or main element stands in them; ``others`` likewise, if the words
+    name a region of other articles."""
+
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()):
+        self.holders: set[int] = set()
+        self.others: set[int] = set()
         self.tokens: list[int] = []
         self.texts: list[tuple[str, int, int, int, bool, bool]] = []
         self.has_article = False
-        # open elements: (name, path hash, dropped, inside the article)
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-        block, at, n = 0, 0, len(html)
+        # open elements: (name, path hash, dropped, inside the article, elements dropped by class words so far, or None if not by them alone)
+        stack: list[tuple[str, int, bool, bool, tuple | None]] = [("", 0, False, False, ())]
+        block, at, n, number = 0, 0, len(html), 0
         while at < n:
             m = _TAG.search(html, at)
             stop = m.start() if m else n
@@ -138,10 +154,18 @@ class Page:
                 self._text(" ", block, top)
             if name in VOID or m.group("self"):
                 continue
-            dropped, inside = top[2], top[3]
+            number += 1
+            dropped, inside, worded = top[2], top[3], top[4]
             marked = (name in DROPPED or attrs.get("role", "").lower() in ROLES or "hidden" in attrs
-                      or attrs.get("aria-hidden") == "true"
-                      or (name not in ("html", "body", "main") and not CONTENT.search(names) and bool(MARK.search(names))))
+                      or attrs.get("aria-hidden") == "true")
+            if marked:
+                worded = None
+            elif name not in ("html", "body", "main") and number not in spared and not CONTENT.search(names):
+                own = MODIFIED.sub(" ", names)
+                other = bool(OTHERS.search(own))
+                if other or (MARK.search(own) and not (inside and name in PROSE)):
+                    marked = True
+                    worded = None if worded is None else (*worded, (number, other))
             if name in HEADINGS and inside and top[0] == "header" and not marked:
                 dropped = False                     # an article's own heading may stand in its header
             elif marked:
@@ -149,12 +173,14 @@ class Page:
             if name in ("article", "main") or attrs.get("role", "").lower() == "main":
                 if not dropped:
                     inside = self.has_article = True
+                elif worded:
+                    (self.others if any(other for _, other in worded) else self.holders).update(k for k, _ in worded)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = close.end() if close else n
                 self.tokens.append(_hash(path, "/" + name))
                 continue
-            stack.append((name, path, dropped, inside))
+            stack.append((name, path, dropped, inside, worded))
 
     @staticmethod
     def _close(stack, names: set, scopes: set) -> None:
@@ -265,8 +291,18 @@ class Template:
         return {c for c, k in due.items() if k == 0} - bad
 
 
+def _own(page: Page) -> list:
+    """The texts that the marks leave."""
+    return [x for x in page.texts if not x[4] and (x[5] or not page.has_article)]
+
+
 def main_text(html: str, template: Template | None = None) -> str:
     page = Page(html)
+    spared = frozenset(page.holders)
+    if spared:
+        page = Page(html, spared)
+    if page.others and not any(x[0].strip() for x in _own(page)):
+        page = Page(html, spared | page.others)
     fixed: set[int] = set()
     if template is not None and template.texts:
         valid = template.valid(page.tokens)
@@ -279,9 +315,7 @@ def main_text(html: str, template: Template | None = None) -> str:
         if text:
             blocks.append(text)
 
-    for text, block, first, stop, dropped, inside in page.texts:
-        if dropped or (page.has_article and not inside):
-            continue
+    for text, block, first, stop, _, _ in _own(page):
         if fixed and stop > first and all(t in fixed for t in page.tokens[first:stop]):
             continue
         if block != last:

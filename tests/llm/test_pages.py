@@ -68,3 +68,23 @@ def test_query_equals_plain_reading(spark):
         body = re.search("<article>(.*?)(</article>|$)", raw[r["page_id"]], re.S).group(1)
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_class_words_of_layouts_keep_the_article():
+    for names in ("content has-sidebar", "no-sidebar", "right-sidebar", "post no-comments", "layout-side-by-side", "header_wrap", "related"):
+        assert pg.main_text(wrap(f'<nav>n</nav><div class="{names}"><article><p>a</p></article><p>b</p></div>')) == "a"
+        assert pg.main_text(wrap(f'<div id="{names}"><main><p>a</p></main></div><div class="ad">b</div>')) == "a"
+        assert pg.main_text(wrap(f'<main><div class="{names}"><article><p>a</p></article></div></main>')) == "a"
+    for names in ("article-form", "post no-comments", "has-sidebar"):
+        assert pg.main_text(wrap(f'<article class="{names}"><p>a</p></article><p>b</p>')) == "a"
+        assert pg.main_text(wrap(f'<main><p>i</p><article class="{names}"><p>a</p></article></main>')) == "i\n\na"
+    # a wrapper without an article element
+    assert pg.main_text(wrap('<div class="content has-sidebar"><p>a</p><div class="sidebar">b</div></div>')) == "a"
+    # running text of an article
+    assert pg.main_text(wrap('<article><p class="notice">a</p><section id="legal"><p>b</p></section><section class="share">c</section>'
+                             '<div class="share">d</div><section id="comments">e</section><p class="ad">f</p></article>')) == "a\n\nb\n\nc"
+    # regions of other articles
+    assert pg.main_text(wrap('<article><p>a</p></article><div class="related"><article>b</article></div>')) == "a"
+    assert pg.main_text(wrap('<main><p>a</p><section id="comments"><article>b</article></section></main>')) == "a"
+    assert pg.main_text(wrap('<article><p>a</p></article><footer class="no-ads"><article>b</article></footer>')) == "a"
+    assert pg.main_text(wrap('<div class="menu"><article>b</article></div><article><p>a</p></article>')) == "a"
