@@ -1,23 +1,24 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by marks, and by repeated text of a host's template.
 
-Pages of one host come from a template.  A page is read as a sequence of
+The main text is what the marks leave: not regions that are marked as menus,
+headers, footers, asides, notices, adverts, forms or comments (element names,
+roles, and words in class and id names), and, if a page has an article or main
+element, not what is outside of it.  Text of the host's template that stands
+on nearly every page falls out too.
+
+The template is found by token classes.  A page is read as a sequence of
 tokens: tags and text, each qualified by the path of open elements above it
 (a short text gives its words, a longer one is a token as a whole).  A
 token's occurrence vector says how often it stands on each page of the host.
 Tokens with equal vectors that stand on at least half of the host's pages
 form an equivalence class; classes of two tokens or more are kept.  On a page
 a class is valid if its tokens follow one another in the class's order, round
-after round; a valid class that repeats nests in a gap of one that occurs
-once.  Valid classes make up the template, and what lies in the gaps between
-their tokens are the slots.
-
-The main text is what remains in the slots that belong to the article: not
-text that the template itself holds on nearly every page, not regions that
-are marked as menus, headers, footers, asides, notices, adverts, forms or
-comments (element names, roles, and words in class and id names), and, if a
-page has an article or main element, not what is outside of it.  Without
-one, the gaps of the template's once-per-page class that hold no remaining
-text fall out by themselves.
+after round.  The text of valid classes is dropped.
+
+Not built: the classes are not nested into a tree by their gaps, and there are
+no slots whose statistics would choose the article's.  A page without marks
+loses repeated text only; text that differs from page to page (lists of
+recent posts, for instance) stays.
 
 Vectors are never built: a token's vector is summed up, task by task, as the
 exclusive-or of a hash of (page, count) over its pages, together with the
