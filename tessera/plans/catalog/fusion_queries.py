@@ -10,8 +10,10 @@ from tessera.functions import arrays as ar
 from tessera.functions.hashing import hash_key, sql_hash
 from tessera.operators import fusion as fu, prep, profile as pf
 from tessera.operators.ordinal import rank_within
+from tessera.operators.signal import signal_mfcc
 from tessera.plans.catalog.registry import query
 from tessera.plans.views import TAB_FEATURES as TF, Views
+from tessera.session import materialize
 
 AUDIO_WIDTH = 13
 
@@ -36,6 +38,14 @@ def aligned(spark, sf):
                                  "sig": (v.v_sig_head(AUDIO_WIDTH), ["id"])})
 
 
+def aligned_mfcc(spark, sf):
+    """v_tab x v_img x (AUDIO_WIDTH MFCC means of the whole of) v_sig by position."""
+    v = Views(spark, sf)
+    audio = signal_mfcc(v.t("events"), "user_id", ["ts", "event_id"], "value", n_mfcc=AUDIO_WIDTH)
+    return fu.align_by_position({"tab": (v.v_tab(), ["id"]), "img": (v.v_img(), ["id"]),
+                                 "sig": (materialize(audio.withColumnRenamed("user_id", "id")), ["id"])})
+
+
 def _tab_arr():
     return F.array(*[F.col(f"tab_{c}").cast("double") for c in TF])
 

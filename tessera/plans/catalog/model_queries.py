@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from tessera.functions import arrays as ar
 from tessera.operators import prep, train as tr
 from tessera.plans import evaluation as ev
-from tessera.plans.catalog.fusion_queries import AUDIO_WIDTH, aligned
+from tessera.plans.catalog.fusion_queries import aligned_mfcc
 from tessera.plans.catalog.registry import query, r6
 from tessera.plans.preprocess import r6 as R6
 from tessera.plans.views import TAB_FEATURES as TF, Views
@@ -134,8 +134,8 @@ def q_embed_images(spark, sf):
 def q_end_to_end_eval(spark, sf):
     """Fuse image, audio and tabular parts (image -> audio -> tabular order),
     impute, encode, split, scale, SMOTE, boosted trees, macro metrics."""
-    a = aligned(spark, sf)
-    fused = F.concat(ar.to_double(F.col("img_vec")), F.slice("sig_sig", 1, AUDIO_WIDTH),
+    a = aligned_mfcc(spark, sf)
+    fused = F.concat(ar.to_double(F.col("img_vec")), F.col("sig_mfcc"),
                      F.array(*[F.col(f"tab_{c}").cast("double") for c in TF]))
     df = a.select(F.col("ordinal").alias("id"), fused.alias("vec"), F.col("tab_label").alias("label"))
     med = prep.array_impute_fit(df, "vec")

@@ -149,3 +149,29 @@ def test_correlation_does_not_depend_on_the_width(spark):
     assert all(got[k] is None for k, v in narrow.items() if v is None)
     assert narrow[("const", "const")] is None and got[("const", "x")] is None
 
+
+
+def test_end_to_end_eval_fuses_whole_signals(spark, monkeypatch):
+    """The audio part of the fused vectors is the 13 MFCC means over all points of a signal."""
+    import numpy as np
+    from tessera.functions import media as md
+    from tessera.plans import evaluation as ev
+    from tessera.plans.catalog import model_queries as mq
+
+    class Seen(Exception):
+        pass
+
+    def prepare(df, id_col, vec, label):
+        raise Seen(df.select(id_col, vec).collect())
+    monkeypatch.setattr(ev, "prepare", prepare)
+    with pytest.raises(Seen) as seen:
+        mq.q_end_to_end_eval(spark, SF_SMALL)
+    v = Views(spark, SF_SMALL)
+    signals = [np.array(r.sig) for r in v.v_sig().orderBy("id").collect()]
+    width = len(v.v_img().first().vec)
+    rows = seen.value.args[0]
+    assert len(rows) > 1 and len({len(r.vec) for r in rows}) == 1
+    for r in rows:
+        y = signals[r.id] - signals[r.id].mean()
+        want = md.mfcc_mean(y / (np.abs(y).max() + 1e-12), 16000, 13, 32, 8, 20)
+        assert np.allclose(r.vec[width:width + 13], want, atol=1e-6)
