@@ -45,12 +45,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays.
-    Documents without an id belong to no group and stay."""
+    """Of each group of near-duplicates the document of the smallest id stays,
+    among rows of one id the one whose text has the smallest hash.  Documents
+    without an id belong to no group and stay."""
     ship_package(spark)
-    groups = simhash.near_duplicates(docs, shingle_words=4, max_bits=4, segments=3)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.withColumn("__th", F.xxhash64("text"))
+    groups = simhash.near_duplicates(own, shingle_words=4, max_bits=4, segments=3, keep=("__th",))
+    first = groups.where(F.col("doc_id").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "__th")).alias("row")).select("row.*").distinct()
+    kept = own.join(first, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

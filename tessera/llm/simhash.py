@@ -188,17 +188,20 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    max_bits: int = 3, segments: int = 3) -> DataFrame:
-    """(``id_col``, fp, component_id) per row of ``df``: component_id is the
-    smallest id reachable over links, the row's own included."""
-    rows = materialize(with_fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
-                                         shingle_words).select("id", "fp"))
+                    max_bits: int = 3, segments: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``id_col``, fp, component_id, component, *``keep``) per row of ``df``:
+    component_id is the smallest id reachable over links, the row's own
+    included, component the smallest fingerprint.  ``keep`` names columns of
+    ``df`` to carry along."""
+    rows = materialize(with_fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep), "text",
+                                         shingle_words).select("id", "fp", *keep))
     least = rows.groupBy("fp").agg(F.min("id").alias("least"))
     links = materialize(fingerprint_links(rows, "fp", max_bits, segments))
     group = components(links, "a", "b").withColumnRenamed("node", "fp")
     # a component's id: the least document of all its fingerprints
     known = least.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     top = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = known.join(top, "component").select("fp", "component_id")
+    by_print = known.join(top, "component").select("fp", "component_id", "component")
     return (rows.join(by_print, "fp", "left")
-            .select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")))
+            .select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
+                    "component", *keep))

@@ -68,3 +68,11 @@ def test_stages_on_odd_rows(spark, make, empty):
         got = stage(spark, odd, SF_SMALL).collect()
         assert len(got) <= len(rows)
         assert stage(spark, empty, SF_SMALL).collect() == []
+
+
+def test_one_row_of_each_group_where_ids_repeat(spark, make):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in ("red", "blue", "green"))
+    rows = [(3, one), (7, one + " "), (7, two), (7, two), (8, two), (9, three), (9, one)]
+    for parts in (1, 3, 5):
+        got = cp.near_duplicate_stage(spark, make(rows, parts), SF_SMALL).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, one), (7, two), (9, three)]
