@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, neighbours, pages, quality, simhash
+from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, neighbours, pages, quality, simhash, substrings
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: 20 neighbours of every 20th id."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+_OP13_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 19], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d)),
+again AS (SELECT doc_id, pos, (row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) > 1)::INT AS again FROM win),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+gone AS (SELECT doc_id, word, pos, max(coalesce(again, 0)) OVER (
+           PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+         FROM words LEFT JOIN again USING (doc_id, pos)),
+kept AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS text FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op13_substring_dedup", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every document."""
+    got = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
