@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, neighbours, pages, quality, simhash, substrings
+from tessera.llm import bpe, fingerprints, langid, licences, linededup, mixing, negatives, neighbours, pages, quality, simhash, substrings, tries
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,60 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     got = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: CRC-32 of the decimal conv_id, bit by bit
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"""
+
+_OP12_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT conv_id, strlen(text) AS bytes, md5(strlen(role) || ':' || role || text) AS id,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS k FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, n, {_CRC_SQL} % 9 AS h FROM (SELECT conv_id, count(*) AS n FROM u GROUP BY ALL)),
+r AS (SELECT c.conv_id, k AS d, id, bytes FROM c JOIN u ON u.conv_id = c.base AND k <= h
+      UNION ALL
+      SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + k - c.h, id, bytes
+      FROM c JOIN u ON u.conv_id = c.conv_id AND k > c.h LEFT JOIN c b ON b.conv_id = c.base),
+pre AS (SELECT conv_id, d, bytes, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM r
+        UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT p, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n, max(bytes) AS bytes,
+           string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last) AS ends
+         FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM pre) GROUP BY p),
+kids AS (SELECT left(p, length(p) - 32) AS p, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+sub AS (SELECT left(p, (32 * i)::INT) AS p, sum((k IS NULL)::INT) AS leaves, sum((n - 1) * bytes) AS saved
+        FROM (SELECT node.*, k, unnest(range(0, depth + 1)) AS i FROM node LEFT JOIN kids USING (p)) GROUP BY 1)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN sub USING (p) LEFT JOIN kids USING (p)
+LEFT JOIN node up ON node.depth > 0 AND up.p = left(node.p, length(node.p) - 32)"""
+
+
+@query("op12_conversation_trie", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every node of the trie of the rebuilt conversations."""
+    seqs = tries.sequences(table(spark, sf_dir, "conversations"), group=F.col("c") - F.col("c") % 5)
+    return tries.nodes(tries.rebuilt(seqs, F.crc32(F.col("c").cast("string")) % 9, most=8))
+
+
+_OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+
+@query("op11_hard_negatives", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", negatives.integers(F.col("embedding"), 256.0).alias("v"), F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
