@@ -182,10 +182,8 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                                       "runs array<struct<h:long,lo:int,hi:int>>")
 
 
-def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10,
-              rare_df: int = 50) -> DataFrame:
-    """(id, th, gone): positions of the lines that each document loses.
-    ``rare_df`` is without effect: runs pair documents whatever their lines' frequency."""
+def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
+    """(id, th, gone): positions of the lines that each document loses."""
     lines = written(_lines(df, id_col, text_col, min_words), "lines")
     key = F.struct("id", "th")
     held = lines.select("id", "th", F.inline("runs").alias("h", "lo", "hi"))
@@ -215,11 +213,10 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10,
-                rare_df: int = 50) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """``df`` with the repeated blocks of later documents deleted from the
     text, and ``n_removed``, the number of lines deleted."""
-    gone = deletions(df, id_col, text_col, min_words, rare_df)
+    gone = deletions(df, id_col, text_col, min_words)
     own = (df.drop("n_removed").withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__th": F.xxhash64(text_col)}))
     gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     left = F.concat_ws("\n", F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)))

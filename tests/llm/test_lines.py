@@ -5,24 +5,19 @@ from pyspark.sql import functions as F
 from tessera.llm import linededup
 
 
-def brute(docs, min_words):
-    """Each document against the first holder of each of its lines."""
-    holders = {}
-    for i in sorted(docs):
-        for line in set(docs[i].split("\n")):
-            if line.split():
-                holders.setdefault(line, []).append(i)
-    again = {line for line, h in holders.items() if len(h) > 1}
-
-    def seq(i):
-        real = [(p, x) for p, x in enumerate(docs[i].split("\n")) if x.split()]
-        return [(o, p, hash(x), len(x.split())) for o, (p, x) in enumerate(real) if x in again]
-    out = {}
-    for i, text in docs.items():
-        gone = set()
-        for a in {holders[x][0] for x in text.split("\n") if x in again and holders[x][0] != i}:
-            gone |= set(linededup.removed(seq(a), seq(i), min_words))
-        out[i] = gone
+def blocks(docs, min_words):
+    """Each document against every earlier one: every run of lines, in any place and order."""
+    seqs = {i: [(p, x.rstrip(" "), len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for i, t in docs.items()}
+    out = {i: set() for i in docs}
+    for i in docs:
+        for a in (a for a in docs if a < i):
+            for s in range(len(seqs[i])):
+                for t in range(len(seqs[a])):
+                    n = 0
+                    while s + n < len(seqs[i]) and t + n < len(seqs[a]) and seqs[i][s + n][1] == seqs[a][t + n][1]:
+                        n += 1
+                    if sum(w for _, _, w in seqs[i][s:s + n]) >= min_words:
+                        out[i] |= {p for p, _, _ in seqs[i][s:s + n]}
     return out
 
 
@@ -44,8 +39,8 @@ def test_equals_brute_force(make):
     lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 14))) for _ in range(40)]
     docs = {i: "\n".join(rng.choice(lines) if rng.random() < 0.5 else rng.choice(["", f"own line {i} {k} of this one"])
                          for k in range(rng.randrange(1, 15))) for i in range(60)}
-    want = brute(docs, 10)
-    got = linededup.dedup_lines(make(list(docs.items())), rare_df=1000).collect()
+    want = blocks(docs, 10)
+    got = linededup.dedup_lines(make(list(docs.items()))).collect()
     assert sum(map(len, want.values())) > 10
     for r in got:
         kept = [x for p, x in enumerate(docs[r["doc_id"]].split("\n")) if p not in want[r["doc_id"]]]
@@ -79,22 +74,6 @@ def test_frequent_short_lines(make):
     assert all(got[i] == ("", 8) for i in range(200, 260))
 
 
-def blocks(docs, min_words):
-    """Each document against every earlier one: every run of lines, in any place and order."""
-    seqs = {i: [(p, x.rstrip(" "), len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for i, t in docs.items()}
-    out = {i: set() for i in docs}
-    for i in docs:
-        for a in (a for a in docs if a < i):
-            for s in range(len(seqs[i])):
-                for t in range(len(seqs[a])):
-                    n = 0
-                    while s + n < len(seqs[i]) and t + n < len(seqs[a]) and seqs[i][s + n][1] == seqs[a][t + n][1]:
-                        n += 1
-                    if sum(w for _, _, w in seqs[i][s:s + n]) >= min_words:
-                        out[i] |= {p for p, _, _ in seqs[i][s:s + n]}
-    return out
-
-
 def test_every_block_of_any_earlier_document(make):
     rng = random.Random(5)
     lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 12))) for _ in range(14)]
@@ -106,7 +85,6 @@ def test_every_block_of_any_earlier_document(make):
              111: f"{a}\n{b}\n{a}\n{b}\n{d}", 112: f"{c}\n{d}\n\n{a}\n{a}\n{b}"}
     want = blocks(docs, 10)
     assert want[109] == {1, 2, 3} and want[110] == {2, 3} and want[111] == {0, 1, 2, 3} and want[112] == {0, 1, 3, 4, 5}
-    assert sum(map(len, want.values())) > sum(map(len, brute(docs, 10).values()))
     for r in linededup.dedup_lines(make(list(docs.items()))).collect():
         kept = [x for p, x in enumerate(docs[r["doc_id"]].split("\n")) if p not in want[r["doc_id"]]]
         assert r["n_removed"] == len(want[r["doc_id"]])
