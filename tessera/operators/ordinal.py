@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import broadcast_checked
+from tessera.operators.joins import local_frame, read_if_small
 from tessera.session import materialize, num_partitions
 
 _LOW33 = (1 << 33) - 1
@@ -71,57 +71,84 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     return out.drop(*drop)
 
 
-def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs) -> DataFrame:
+def _coarse(v: Column) -> Column:
+    """A bin that never decreases with ``v``: sign and 32nds of the binary
+    logarithm, so the values of a bin lie within 2 % of each other."""
+    size = F.when(F.abs(v) == float("inf"), F.lit(90_000).cast("long")).otherwise(F.floor(F.log2(F.abs(v)) * 32) + 40_000)
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * size)
+
+
+def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs, limit: int = 100_000, bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated quantiles (as ``percentile`` / numpy
     'linear') per group: one row per (group, p) with column ``q``.
 
-    Equal values are counted first, with map-side combining, so a frequent
-    value is one row.  The distinct values are range-partitioned; running
-    sums of their counts inside each partition, plus the offsets of earlier
-    partitions, give the ranks that each value covers, and only the values
-    that cover a target position survive the join with the targets (a row
-    per group and position).  No task holds more than a range partition.
+    Selection by histogram refinement: a first pass counts the values of every
+    coarse bin, with map-side combining, so only counts are shuffled.  Bins
+    without a wanted rank are done with; the others become ranges of values
+    that further passes cut into ``bins`` equal parts until each holds at most
+    ``limit`` values, or one value only, however often.  The values of the last
+    ranges are counted and ranked.  No pass sorts or shuffles the data.
     """
-    group_cols = list(group_cols)
-    spark = df.sparkSession
-    val = F.col(value_col).cast("double")
-    counts = (df.select(*group_cols, (val + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    keys = _as_cols(group_cols) + [F.col("_v")]
-    s = materialize(counts.repartitionByRange(num_partitions(spark), *keys).withColumn("_pid", F.spark_partition_id()))
-    totals = s.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_pc"))
-    w = Window.partitionBy(*group_cols)
-    # one row per partition and group
-    totals = (totals.withColumn("_off", F.coalesce(F.sum("_pc").over(
-        w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_pc").over(w)))
-    targets = totals.select(*group_cols, "_n").distinct()
-    pos = (F.col("_n") - 1).cast("double") * F.col("p")
-    targets = (targets.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-               .select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)], "p", pos.alias("_pos"),
-                       F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi")))
-    local = Window.partitionBy("_pid", *group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    st = totals.select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group_cols)], F.col("_pid").alias("_spid"), "_off")
-    cond = F.col("_pid") == F.col("_spid")
-    for i, g in enumerate(group_cols):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{i}"))
-    ends = (s.withColumn("_end", F.sum("_c").over(local)).join(broadcast_checked(st), cond)
-            .select(*group_cols, "_v", (F.col("_end") + F.col("_off")).alias("_end"), (F.col("_end") + F.col("_off") - F.col("_c")).alias("_start")))
-
-    def covers(r):
-        return (F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end"))
-
-    cond = covers("_lo") | covers("_hi")
-    for i, g in enumerate(group_cols):
-        cond = F.col(g).eqNullSafe(F.col(f"_g_{i}")) & cond
-    if not group_cols:
-        ends, targets = ends.withColumn("_one", F.lit(1)), targets.withColumn("_g_one", F.lit(1))
-        cond = (F.col("_one") == F.col("_g_one")) & cond
-    agg = (ends.join(broadcast_checked(targets), cond).groupBy(*group_cols, "p", "_pos", "_lo", "_hi")
-           .agg(F.max(F.when(covers("_lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(covers("_hi"), F.col("_v"))).alias("_vhi")))
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
-    return agg.select(*group_cols, "p", q.alias("q"))
+    names = [f"_g{i}" for i in range(len(list(group_cols)))] or ["_g0"]
+    own = _as_cols(group_cols) or [F.lit(0)]
+    v = F.col(value_col).cast("double") + F.lit(0.0)
+    vals = df.select(*[c.alias(n) for c, n in zip(own, names)], v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+    def holding(parts: DataFrame, by: list[str], order: str) -> DataFrame:
+        """The parts (n values from _lo to _hi) that hold wanted ranks, with the rank of their first value."""
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = parts.withColumn("_start", F.col("_base") + F.sum("_n").over(w) - F.col("_n"))
+        wanted = F.exists(_ranks(probs), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")))
+        return placed.where(wanted).select(*names, "_total", "_start", "_n", "_lo", "_hi")
+
+    summed = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    parts = vals.groupBy(*names, _coarse(F.col("_v")).alias("_bin")).agg(*summed)
+    parts = parts.withColumns({"_total": F.sum("_n").over(Window.partitionBy(*names)), "_base": F.lit(0).cast("long")})
+    ranges, most = _small(holding(parts, names, "_bin"))
+    while most > limit:
+        at = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)
+        parts = (_within(vals, ranges.where("_lo < _hi"), names).groupBy(*names, "_total", "_start", F.least(at, F.lit(bins - 1).cast("long")).alias("_bin"))
+                 .agg(*summed).withColumnRenamed("_start", "_base"))
+        finer = holding(parts, [*names, "_base"], "_bin")
+        ranges, most = _small(finer.unionByName(ranges.where("_lo = _hi")))
+    each = _within(vals, ranges.where("_lo < _hi"), names).groupBy(*names, "_total", "_start", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # at most `limit` values in a range
+    w = Window.partitionBy(*names, "_start").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = each.withColumn("_end", F.col("_start") + F.sum("_n").over(w)).select(*names, "_total", "_v", (F.col("_end") - F.col("_n")).alias("_from"), "_end")
+    ones = ranges.where("_lo = _hi").select(*names, "_total", F.col("_lo").alias("_v"), F.col("_start").alias("_from"), (F.col("_start") + F.col("_n")).alias("_end"))
+    runs = runs.unionByName(ones).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    pos = (F.col("_total") - 1).cast("double") * F.col("p")
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_end")), F.col("_v")))
+
+    q = F.when(F.floor(pos) == F.ceil(pos), F.col("_vlo")).otherwise((F.ceil(pos) - pos) * F.col("_vlo") + (pos - F.floor(pos)) * F.col("_vhi"))
+    out = runs.groupBy(*names, "_total", "p").agg(at_rank(F.floor(pos)).alias("_vlo"), at_rank(F.ceil(pos)).alias("_vhi"))
+    plain = [c if isinstance(c, str) else f"_g{i}" for i, c in enumerate(group_cols)]
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, plain)], "p", q.alias("q"))
+
+
+def _ranks(probs) -> Column:
+    """The ranks that the quantiles of _total values interpolate between."""
+    pos = [(F.col("_total") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    return F.array(*[f(x) for x in pos for f in (F.floor, F.ceil)])
+
+
+def _small(ranges: DataFrame) -> tuple[DataFrame, int]:
+    """The ranges, computed once, and the most values that one with different values holds."""
+    rows = read_if_small(ranges)
+    if rows is not None:
+        open_ = [n for n, lo, hi in zip(*(rows.column(c).to_pylist() for c in ("_n", "_lo", "_hi"))) if lo < hi]
+        return F.broadcast(local_frame(ranges, rows)), max(open_, default=0)
+    ranges = materialize(ranges)
+    return ranges, ranges.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
+
+
+def _within(vals: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:
+    """The values that lie in a range of their group, beside it."""
+    renamed = ranges.select(*[F.col(n).alias(f"_r{n}") for n in names], "_total", "_start", "_lo", "_hi")
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r{n}")) for n in names])
+    return vals.join(renamed, same & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop(*[f"_r{n}" for n in names])
 
 
 def approx_quantiles(df: DataFrame, group_cols, value_col: str, probs, accuracy: int = 100_000) -> DataFrame:

@@ -8,6 +8,8 @@ the statistics come from (default: training rows only).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +79,39 @@ def array_impute_fit(df: DataFrame, vec: str) -> DataFrame:
 
 
 def array_scale_fit(df: DataFrame, vec: str) -> DataFrame:
-    """Mean, population std and scale per array position: (pos, mean, std, scale)."""
-    long = df.select(F.posexplode(vec).alias("pos", "value"))
-    return (long.groupBy(F.col("pos").cast("int").alias("pos"))
-            .agg(F.avg(F.col("value").cast("double")).alias("mean"),
-                 F.stddev_pop(F.col("value").cast("double")).alias("std"))
-            .withColumn("scale", F.coalesce(F.nullif(F.col("std"), F.lit(0.0)), F.lit(1.0))))
+    """Mean, population std and scale per array position: (pos, mean, std, scale);
+    missing values are skipped.  Every task sums its own rows by position and
+    hands on one row per position."""
+
+    def moments(batches):
+        n = mean = m2 = np.zeros(0)
+        for batch in batches:
+            lists = batch.column("v")
+            flat = lists.flatten()
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(np.concatenate(([0], _lengths(lists)[:-1]))), _lengths(lists))
+            have = flat.is_valid().to_numpy(zero_copy_only=False)
+            x, pos = flat.to_numpy(zero_copy_only=False)[have].astype(np.float64), pos[have]
+            size = max(len(n), int(pos.max()) + 1 if len(pos) else 0)
+            n, mean, m2 = (np.pad(a, (0, size - len(a))) for a in (n, mean, m2))
+            k = np.bincount(pos, minlength=size)
+            own = np.bincount(pos, x, size) / np.maximum(k, 1)
+            spread = np.bincount(pos, (x - own[pos]) ** 2, size)
+            both = np.maximum(n + k, 1)
+            mean, m2 = mean + (own - mean) * k / both, m2 + spread + (own - mean) ** 2 * n * k / both
+            n = n + k
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int64)), pa.array(mean), pa.array(m2)],
+                                         names=["pos", "n", "mean", "m2"])
+
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(moments, "pos int, n long, mean double, m2 double").where("n > 0")
+    each = parts.groupBy("pos").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+                                    F.collect_list(F.struct("n", "mean", "m2")).alias("parts"))
+    m2 = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    std = F.sqrt(m2 / F.col("n"))
+    return each.select("pos", "mean", std.alias("std"), F.coalesce(F.nullif(std, F.lit(0.0)), F.lit(1.0)).alias("scale"))
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def array_scale_transform(df: DataFrame, vec: str, params: DataFrame, out: str | None = None) -> DataFrame:

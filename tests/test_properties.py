@@ -175,3 +175,53 @@ def test_end_to_end_eval_fuses_whole_signals(spark, monkeypatch):
         y = signals[r.id] - signals[r.id].mean()
         want = md.mfcc_mean(y / (np.abs(y).max() + 1e-12), 16000, 13, 32, 8, 20)
         assert np.allclose(r.vec[width:width + 13], want, atol=1e-6)
+
+
+def test_quantiles_by_selection(spark):
+    """Continuous, tied, signed, huge and tiny values, with ranges refined many times."""
+    import numpy as np
+    from tessera.operators.ordinal import exact_quantiles
+    rng = np.random.default_rng(5)
+    groups = {"flat": rng.uniform(size=3000), "wide": np.exp(rng.normal(size=2500) * 200) * rng.choice([-1, 1], 2500),
+              "tied": np.concatenate([np.full(4000, 7.5), rng.uniform(7, 8, 1000)]), "near": 1.0 + np.arange(500) * 2.0 ** -52,
+              "odd": np.array([float("-inf"), -1e308, -0.0, 0.0, 5e-324, 1e308, float("inf")]), "one": np.array([3.0]), None: rng.normal(size=700)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("flat", None), ("flat", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for limit, bins in ((100_000, 1024), (3, 4)):
+        got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", probs, limit=limit, bins=bins).collect()}
+        assert len(got) == len(groups) * len(probs)
+        for g, v in groups.items():
+            if g == "odd":
+                assert [got[(g, p)] for p in (0.0, 0.5, 1.0)] == [float("-inf"), 0.0, float("inf")]
+                continue
+            for p in probs:
+                x = np.sort(v)
+                pos = (len(x) - 1) * p
+                lo, hi = int(np.floor(pos)), int(np.ceil(pos))
+                want = x[lo] if lo == hi else (hi - pos) * x[lo] + (pos - lo) * x[hi]
+                assert got[(g, p)] == want, (g, p)
+
+
+def test_selection_shuffles_counts_only(spark):
+    """A hundred thousand different values: what is shuffled is a few thousand bin counts and one range."""
+    from tessera.operators.ordinal import _coarse
+    df = spark.range(100_000).select((F.col("id") * 0.37 - 9000).alias("v"))
+    assert df.select(_coarse(F.col("v")).alias("b")).distinct().count() < 1500
+
+
+def test_array_moments_skip_missing(spark):
+    from tessera.operators import prep
+    df = spark.createDataFrame([([1.0, None, 5.0],), ([3.0, 2.0],), (None,), ([5.0, 4.0, 5.0],), ([],)], "v array<double>").repartition(3)
+    got = {r.pos: (r.mean, round(r.std, 9), round(r["scale"], 9)) for r in prep.array_scale_fit(df, "v").collect()}
+    assert got == {0: (3.0, round((8 / 3) ** 0.5, 9), round((8 / 3) ** 0.5, 9)), 1: (3.0, 1.0, 1.0), 2: (5.0, 0.0, 1.0)}
+
+
+def test_broadcast_only_if_small(spark):
+    from tessera.operators.joins import broadcast_checked, read_if_small
+    small = spark.createDataFrame([(1, "a", None), (2, None, [1.5])], "k long, s string, v array<double>")
+    got = broadcast_checked(small)
+    assert got.schema == small.schema and sorted(got.collect(), key=str) == sorted(small.collect(), key=str)
+    assert read_if_small(spark.range(20), max_rows=10) is None
+    assert read_if_small(spark.createDataFrame([("x" * 5000,)], "s string")) is None
+    assert broadcast_checked(spark.createDataFrame([], "k long")).collect() == []
