@@ -6,18 +6,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tessera.functions import arrays as ar
+from tessera.functions import arrays as ar, text as tx
 from tessera.operators import prep, train as tr
-from tessera.plans import evaluation as ev
+from tessera.plans import evaluation as ev, stored_scoring as ss
 from tessera.plans.catalog.fusion_queries import aligned_mfcc
 from tessera.plans.catalog.registry import query, r6
 from tessera.plans.preprocess import r6 as R6
-from tessera.plans.views import TAB_FEATURES as TF, Views
+from tessera.plans.views import CLASSES, TAB_FEATURES as TF, Views
 from tessera.session import scratch_path
 from tessera.sources import sinks
+from tessera.sources.media import EMOTIONS
 
 # Boosting rounds / depth used by the registered queries (fixture-sized).
 GBT_ROUNDS, GBT_DEPTH = 20, 4
@@ -95,17 +96,49 @@ def q_load_model(spark, sf):
     return tr.decoded(tr.predict(loaded, p.test), p.index).select("y_true", "y_pred", "pred_idx")
 
 
-@query("batch_score")
+_EMO_SQL = "[" + ", ".join(f"'{e}'" for e in EMOTIONS) + "]"
+_STORED_CTES = f"""ta AS (SELECT row_number() OVER (ORDER BY id) AS o, * FROM v_tab),
+  au AS (SELECT row_number() OVER (ORDER BY user_id) AS o, [avg(value), min(value), max(value)] AS aud FROM events GROUP BY user_id),
+  im AS (SELECT row_number() OVER (ORDER BY id) AS o, vec FROM v_img),
+  fused AS (SELECT o, [{", ".join(f"{c}::DOUBLE" for c in TF)}] || aud || vec::DOUBLE[] AS x FROM ta JOIN au USING (o) JOIN im USING (o)),
+  cells AS (SELECT o, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS j FROM fused),
+  med AS (SELECT j, coalesce(quantile_cont(x, 0.5), 0.0) AS med FROM cells GROUP BY j),
+  st AS (SELECT j, avg(coalesce(x, med)) AS mean, coalesce(nullif(stddev_pop(coalesce(x, med)), 0), 1.0) AS scale FROM cells JOIN med USING (j) GROUP BY j),
+  tm AS (SELECT [{", ".join(f"quantile_cont({c}::DOUBLE, 0.5)" for c in TF)}, 0.0, 0.0, 0.0] AS known FROM v_tab),
+  q AS (SELECT id, label, unnest(known || vec::DOUBLE[]) AS x, generate_subscripts(known || vec::DOUBLE[], 1) - 1 AS j FROM v_img, tm),
+  sc AS (SELECT id, label, c, round(sum((x - mean) / scale * (((31 * c + 17 * j + 7 * c * j) % 23 - 11) / 10.0)), 6) + 0.0 AS score
+         FROM q JOIN st USING (j), range({len(CLASSES)}) r(c) GROUP BY id, label, c),
+  scored AS (SELECT id, {_EMO_SQL}[label % {len(EMOTIONS)} + 1] AS folder, list(score ORDER BY c) AS scores,
+               [{", ".join(f"'{c}'" for c in CLASSES)}][list_position(list(score ORDER BY c), max(score))] AS pred_label FROM sc GROUP BY id, label)"""
+
+
+def _external_images(spark, sf):
+    folder = F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("label") % len(EMOTIONS) + 1)
+    return Views(spark, sf).v_img().select("id", folder.alias("folder"), "vec")
+
+
+@query("batch_score", f"WITH {_STORED_CTES} SELECT id, folder, list_transform(scores, lambda v: round(v, 4) + 0.0) AS scores, pred_label FROM scored")
 def q_batch_score(spark, sf):
-    """Stored state applied to new rows: impute -> scale -> model -> arg-max
-    -> decode (the logistic model's class probabilities)."""
-    v = Views(spark, sf).v_cls()
-    p = ev.prepare(v, "id", "vec", "label")
-    model, _ = ev.fit_score("logistic", p)
-    scored = model.transform(p.test).withColumn("prob", tr.vector_to_array(F.col("probability")))
-    scored = scored.withColumn("pred_idx", F.array_position("prob", F.array_max("prob")).cast("int") - 1)
-    return prep.label_decode(scored.select("y_true" if "y_true" in scored.columns else "label", "pred_idx"),
-                             "pred_idx", p.index, "label", "pred_label")
+    """All external images scored by a job that loads the stored pipeline and
+    medians and fits nothing."""
+    got = ss.score_images(spark, ss.state_of(spark, sf), _external_images(spark, sf))
+    return got.select("id", "folder", F.transform("scores", lambda v: F.round(v, 4) + F.lit(0.0)).alias("scores"), "pred_label")
+
+
+@query("image_prediction_distribution", f"""WITH {_STORED_CTES},
+  n AS (SELECT folder, pred_label, count(*) AS n FROM scored GROUP BY ALL)
+  SELECT upper(left(folder, 1)) || substr(folder, 2) AS emotion, sum(n)::BIGINT AS total,
+    string_agg(pred_label || ': ' || printf('%.1f', n * 100.0 / t) || '%', ', ' ORDER BY n DESC, pred_label) AS distribution
+  FROM (SELECT *, sum(n) OVER (PARTITION BY folder) AS t FROM n) GROUP BY folder""")
+def q_image_prediction_distribution(spark, sf):
+    """Predicted classes of the scored images by their folder, most frequent first."""
+    got = ss.score_images(spark, ss.state_of(spark, sf), _external_images(spark, sf))
+    n = got.groupBy("folder", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("total", F.sum("n").over(Window.partitionBy("folder")))
+    share = F.concat("pred_label", F.lit(": "), tx.format_percent(F.col("n").cast("double") / F.col("total") * 100, 1))
+    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("pred_label").alias("l"), share.alias("t"))))
+    return (n.groupBy("folder").agg(F.max("total").alias("total"), items.alias("items"))
+            .select(tx.capitalize(F.col("folder")).alias("emotion"), "total", F.array_join(F.transform("items", lambda x: x["t"]), ", ").alias("distribution")))
 
 
 _PROJ_SEED, _EMBED_DIM = 7, 16

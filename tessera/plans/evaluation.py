@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concurrent.futures import ThreadPoolExecutor
 
-from tessera.operators import balance as bl, prep, split as sp, train as tr
+from tessera.operators import balance as bl, prep, split as sp, stages as st, train as tr
 from tessera.session import materialize
 
 
@@ -49,18 +50,23 @@ def prepare(df: DataFrame, id_col: str, vec: str, label: str, balance: bool = Tr
     return Prepared(train, test, index, n_features, tr.class_count(index))
 
 
-def estimator(name: str, p: Prepared, n_train: int | None = None, **kw):
+def classifier(name: str, n_train: int, n_features: int, n_classes: int, **kw):
+    """The named classifier for training data of this size."""
     if name == "logistic":
-        return tr.logistic(n_train or p.train.count(), **kw)
+        return tr.logistic(n_train, **kw)
     if name == "forest":
         return tr.forest(**kw)
     if name == "boosted":
         return tr.boosted(**kw)
     if name == "mlp":
-        return tr.mlp(p.n_features, p.n_classes, **kw)
+        return tr.mlp(n_features, n_classes, **kw)
     raise ValueError(name)
 
 
+def estimator(name: str, p: Prepared, n_train: int | None = None, **kw):
+    return classifier(name, n_train or (p.train.count() if name == "logistic" else 0), p.n_features, p.n_classes, **kw)
+
+
 def fit_score(name: str, p: Prepared, **kw):
     model = estimator(name, p, **kw).fit(p.train)
     pred = tr.decoded(tr.predict(model, p.test), p.index)
@@ -83,18 +89,41 @@ def compare_models(p: Prepared, specs: dict[str, dict]) -> DataFrame:
     return out
 
 
+TARGET, FEATURES = "_target", "_features"
+
+
+def training_pipeline(model, id_col: str, vec: str, label: str, balance: bool = True, k: int = 5) -> st.TrainingPipeline:
+    """Median imputer, sorted label encoder, population scaler, SMOTE on the
+    training rows only, the classifier ``model``, and decoded predictions
+    (``y_pred``)."""
+    stages = [st.ArrayMedianImputer(inputCol=vec), st.SortedLabelEncoder(inputCol=label, outputCol=TARGET), st.ArrayPopulationScaler(inputCol=vec),
+              *([st.SmoteBalancer(inputCol=vec, labelCol=TARGET, idCol=id_col, k=k)] if balance else []),
+              st.Checkpoint(), st.ArrayToVector(inputCol=vec, outputCol=FEATURES), model.copy({model.featuresCol: FEATURES, model.labelCol: TARGET})]
+    return st.TrainingPipeline(stages=stages)
+
+
+def fit_pipeline(df: DataFrame, model: str, id_col: str, vec: str, label: str, balance: bool = True, **kw) -> PipelineModel:
+    """The training pipeline fitted on all rows of ``df``; it scores rows that have ``vec``."""
+    n, width = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    classes = st.SortedLabelEncoder(inputCol=label).fit(df).getOrDefault("labels")
+    if len(classes) < 2 and model == "boosted":
+        raise ValueError("boosting needs two classes at least")
+    fitted = training_pipeline(classifier(model, n, width, len(classes), **kw), id_col, vec, label, balance).fit(df)
+    return PipelineModel([*fitted.stages, st.PredictionDecoderModel(inputCol="prediction", outputCol="y_pred", labels=classes)])
+
+
 def cross_validate(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, model: str = "boosted",
                    **kw) -> DataFrame:
-    """Stratified k-fold; scaler and SMOTE are fitted on the training folds
-    only; score = accuracy on the held-out fold.  (fold, n, accuracy)."""
+    """Stratified k-fold with one pipeline per fold: everything is fitted on
+    the training folds only, and the fitted pipeline scores the held-out fold.
+    (fold, n, accuracy)."""
     folds = tr.materialize(sp.stratified_folds(df, id_col, label, k))
 
     def one(i):
-        f = folds.withColumn("_part", F.when(F.col("fold") == i, "test").otherwise("train"))
-        p = prepare(f, id_col, vec, label, split_col="_part")
-        _, pred = fit_score(model, p, **kw)
+        fitted = fit_pipeline(folds.where(F.col("fold") != i), model, id_col, vec, label, **kw)
+        pred = fitted.transform(folds.where(F.col("fold") == i))
         return materialize(pred.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n"),
-                                    F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy")))
+                                    F.avg((F.col(label).cast("string") == F.col("y_pred")).cast("double")).alias("accuracy")))
 
     # folds are independent: submit their Spark jobs concurrently
     with ThreadPoolExecutor(max_workers=k) as pool:
