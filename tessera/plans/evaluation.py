@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from concurrent.futures import ThreadPoolExecutor
 
-from tessera.operators import balance as bl, prep, split as sp, stages as st, train as tr
+from tessera.operators import balance as bl, split as sp, stages as st, train as tr
 from tessera.session import materialize
 
 
@@ -27,27 +27,23 @@ class Prepared:
 
 def prepare(df: DataFrame, id_col: str, vec: str, label: str, balance: bool = True,
             split_col: str | None = None, test_value="test") -> Prepared:
-    """Hash split (or a given split column), scaler fitted on training rows,
-    SMOTE on the scaled training rows only."""
-    # label index, split keys and split table all read the input
-    df = materialize(df)
-    index = prep.label_index(df, label)
-    s = df if split_col else sp.train_test_split(df, id_col)
+    """Hash split (or a given split column); imputer and scaler fitted on
+    training rows, SMOTE on the scaled training rows only."""
+    # split, imputer, scaler and balancing all read this one checkpoint
+    s = materialize(df if split_col else sp.train_test_split(df, id_col))
     split_col = split_col or "split"
-    s = materialize(s) if s is not df else s
-    train = s.where(F.col(split_col) != F.lit(test_value))
-    test = s.where(F.col(split_col) == F.lit(test_value))
-    params = prep.array_scale_fit(train, vec)
-    train = prep.array_scale_transform(train, vec, params)
-    test = prep.array_scale_transform(test, vec, params)
+    test = F.col(split_col) == F.lit(test_value)
+    train, test = s.where(~test), s.where(test)
+    labels = st.SortedLabelEncoder(inputCol=label).fit(s).getOrDefault("labels")
+    fitted = st.TrainingPipeline(stages=[st.ArrayMedianImputer(inputCol=vec), st.ArrayPopulationScaler(inputCol=vec)]).fit(train)
+    train, test = fitted.transform(train), fitted.transform(test)
     if balance:
         train = bl.smote(train, id_col, vec, label).select(label, vec)
-    train = prep.label_encode(train, label, index)
-    test = prep.label_encode(test, label, index)
-    train = tr.materialize(tr.ml_frame(train, vec, "idx"))
-    test = tr.ml_frame(test, vec, "idx")
-    n_features = int(train.select(F.max(F.size(vec))).first()[0])
-    return Prepared(train, test, index, n_features, tr.class_count(index))
+    encode = st.SortedLabelEncoderModel(inputCol=label, outputCol="idx", labels=labels)
+    train = tr.materialize(tr.ml_frame(encode.transform(train), vec, "idx"))
+    test = tr.ml_frame(encode.transform(test), vec, "idx")
+    index = df.sparkSession.createDataFrame(list(enumerate(labels)), f"idx int, {label} string").select(label, "idx")
+    return Prepared(train, test, index, len(fitted.stages[1].getOrDefault("means")), len(labels))
 
 
 def classifier(name: str, n_train: int, n_features: int, n_classes: int, **kw):

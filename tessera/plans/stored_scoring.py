@@ -27,11 +27,11 @@ def fixed_weight(c: int, j: int) -> float:
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """v_tab, three figures of every user's signal, and v_img, lined up by position and fused."""
+    """(ordinal, id, label, vec): v_tab, three figures of every user's signal, and v_img, lined up by position and fused."""
     v = Views(spark, sf)
     signal = v.t("events").groupBy(F.col("user_id").alias("id")).agg(F.array(F.avg("value"), F.min("value"), F.max("value")).alias("aud"))
     a = fu.align_by_position({"tab": (v.v_tab(), ["id"]), "aud": (signal, ["id"]), "img": (v.v_img(), ["id"])})
-    return a.select("ordinal", F.concat(F.array(*[F.col(f"tab_{c}").cast("double") for c in TF]), F.col("aud_aud"), F.col("img_vec").cast("array<double>")).alias("vec"))
+    return a.select("ordinal", F.col("tab_id").alias("id"), F.col("tab_label").alias("label"), F.concat(F.array(*[F.col(f"tab_{c}").cast("double") for c in TF]), F.col("aud_aud"), F.col("img_vec").cast("array<double>")).alias("vec"))
 
 
 def train(spark: SparkSession, sf: str, root: str) -> str:
