@@ -71,6 +71,34 @@ def rank_within(df: DataFrame, order_cols, group_cols=(), rank_col: str = "_rank
     return out.drop(*drop)
 
 
+def running_before(df: DataFrame, order_cols, value_col: str, out: str, aggregate=F.max, merge=F.greatest) -> DataFrame:
+    """``out``: the aggregate of ``value_col`` over all rows before each row in
+    ``order_cols`` order (a total order; null for the first row, missing values
+    skipped).
+
+    A prefix scan for any aggregate that merges (maximum and ``greatest`` by
+    default): rows are range-partitioned and sorted, every partition's aggregate
+    is taken, the aggregates of the partitions before it (a row per partition)
+    are merged into its offset, and a window inside each partition adds the
+    rows before it there.  The partitioned rows are checkpointed, so offsets and
+    windows see the same partitions.
+    """
+    keys = _as_cols(order_cols)
+    rows = materialize(df.repartitionByRange(num_partitions(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()))
+    each = rows.groupBy("_pid").agg(aggregate(value_col).alias("_of"))
+    kind = each.schema["_of"].dataType.simpleString()
+    totals = sorted(each.collect(), key=lambda r: r["_pid"])                # a row per partition
+    parts = F.array(*[F.struct(F.lit(r["_pid"]).alias("pid"), F.lit(r["_of"]).cast(kind).alias("of")) for r in totals])
+    # offsets of the partitions: merged on one small row, then joined back
+    offsets = (df.sparkSession.range(1).select(F.explode(parts).alias("x")).select(F.col("x.pid").alias("_p"), F.transform(
+        F.filter(parts, lambda y: y["pid"] < F.col("x.pid")), lambda y: y["of"]).alias("_before")) if totals else
+        df.sparkSession.createDataFrame([], f"_p int, _before array<{kind}>"))
+    offsets = offsets.select("_p", F.aggregate("_before", F.lit(None).cast(kind), lambda s, x: merge(s, x)).alias("_offset"))
+    w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))
+    return joined.withColumn(out, merge(aggregate(value_col).over(w), F.col("_offset"))).drop("_pid", "_p", "_offset")
+
+
 def _coarse(v: Column) -> Column:
     """A bin that never decreases with ``v``: sign and 32nds of the binary
     logarithm, so the values of a bin lie within 2 % of each other."""

@@ -6,7 +6,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -55,36 +56,76 @@ def missing_flags(df: DataFrame, id_col: str, cols) -> DataFrame:
     return df.select(id_col, *flags, total.alias("n_missing"))
 
 
+TILE = 64            # columns of a tile
+FAN_IN = 256         # tiles merged by one task of the first level
+_STATS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def gram_tiles(df: DataFrame, cols, shift=None) -> DataFrame:
+    """(bi, bj, tile): for every pair of column blocks bi <= bj, of TILE columns,
+    one binary of six matrices (counts, both sums, both sums of squares, sums
+    of products over the rows that have both columns), summed over all rows.
+
+    Every task adds up its own rows by matrix products and hands on one packed
+    tile per pair of blocks; tiles are merged FAN_IN at a time and then once
+    more, so a task of the last level holds one of every FAN_IN tasks' tiles
+    (256 for 65,536 tasks, 50 MB)."""
+    cols = list(cols)
+    low = np.zeros(len(cols)) if shift is None else np.asarray(shift, dtype=np.float64)
+    blocks = [(a, min(a + TILE, len(cols))) for a in range(0, len(cols), TILE)]
+
+    def own(batches):
+        total: dict = {}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - low
+            has = ~np.isnan(x)
+            m, x = has.astype(np.float64), np.where(has, x, 0.0)
+            xx = x * x
+            for i, (a, b) in enumerate(blocks):
+                for j, (c, d) in enumerate(blocks[i:], i):
+                    part = np.stack([m[:, a:b].T @ m[:, c:d], x[:, a:b].T @ m[:, c:d], m[:, a:b].T @ x[:, c:d],
+                                     xx[:, a:b].T @ m[:, c:d], m[:, a:b].T @ xx[:, c:d], x[:, a:b].T @ x[:, c:d]])
+                    total[i, j] = total[i, j] + part if (i, j) in total else part
+        part = TaskContext.get().partitionId()
+        for (i, j), tile in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([part], pa.int64()),
+                                              pa.array([tile.tobytes()], pa.binary())], names=["bi", "bj", "part", "tile"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(t.as_buffer()) for t in table.column("tile"))
+        return table.slice(0, 1).set_column(3, "tile", pa.array([total.tobytes()], pa.binary()))
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    kind = "bi int, bj int, part long, tile binary"
+    tiles = wide.mapInArrow(own, kind).withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long"))
+    tiles = tiles.groupBy("bi", "bj", "part").applyInArrow(merged, kind).groupBy("bi", "bj").applyInArrow(merged, kind)
+    return tiles.select("bi", "bj", "tile")
+
+
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a, col_b, corr),
     both (a, b) and (b, a); NULL where a column is constant over the rows
     that have both.
 
-    One way at every width: each batch of rows gives, by matrix products,
-    the counts, sums, squares and products of all pairs over the rows that
-    have both values; Spark adds these up per pair.  Columns are shifted by
-    their minimum first, so a constant column is exactly zero.
+    One way at every width: ``gram_tiles``.  Columns are shifted by their
+    minimum first, so a constant column is exactly zero.
     """
     cols = list(cols)
     lows = df.agg(*[F.min(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    low = np.array([0.0 if v is None or math.isnan(v) else v for v in lows])
-    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
-
-    def sums(it):
-        total = None
-        for pdf in it:
-            x = pdf.to_numpy(dtype=np.float64) - low
-            has = ~np.isnan(x)
-            m, x = has.astype(np.float64), np.where(has, x, 0.0)
-            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.divmod(np.arange(len(cols) ** 2), len(cols))
-            yield pd.DataFrame({"i": i, "j": j, **{n: t.ravel() for n, t in zip(names, total)}})
-
-    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    s = (wide.mapInPandas(sums, "i long, j long, " + ", ".join(f"{n} double" for n in names))
-         .groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names]))
+    low = [0.0 if v is None or math.isnan(v) else v for v in lows]
+    width = len(cols)
+
+    def pairs(batches):
+        for batch in batches:
+            for bi, bj, raw in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj", "tile"))):
+                a, c = bi * TILE, bj * TILE
+                tile = np.frombuffer(raw).reshape(6, min(TILE, width - a), min(TILE, width - c))
+                for i, j, t in [(a, c, tile)] + ([(c, a, tile[[0, 2, 1, 4, 3, 5]].transpose(0, 2, 1))] if bi != bj else []):
+                    at = np.indices(t.shape[1:]).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[0] + i), pa.array(at[1] + j), *[pa.array(np.ascontiguousarray(x).ravel()) for x in t]],
+                                                     names=["i", "j", *_STATS])
+
+    s = gram_tiles(df, cols, low).mapInArrow(pairs, "i long, j long, " + ", ".join(f"{n} double" for n in _STATS))
 
     def spread(total: str, squares: str):
         v = F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col("n"))

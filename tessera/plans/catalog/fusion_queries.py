@@ -3,13 +3,12 @@ over v_tab x v_img x v_sig; running best over v_epoch; path sorts over pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as ar
 from tessera.functions.hashing import hash_key, sql_hash
 from tessera.operators import fusion as fu, prep, profile as pf
-from tessera.operators.ordinal import rank_within
+from tessera.operators.ordinal import rank_within, running_before
 from tessera.operators.signal import signal_mfcc
 from tessera.plans.catalog.registry import query
 from tessera.plans.views import TAB_FEATURES as TF, Views
@@ -227,12 +226,10 @@ def q_cast_features(spark, sf):
           FROM v_epoch) e""")
 def q_running_best(spark, sf):
     e = Views(spark, sf).v_epoch()
-    # v_epoch has one row per day: the unpartitioned windows run over that tiny table
-    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    best = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (e.withColumn("prev_best", F.max("acc").over(w))
-             .withColumn("improved", F.col("acc") > F.coalesce(F.col("prev_best"), F.lit(0.0)))
-             .withColumn("best_epoch", F.max_by("epoch", F.struct(F.col("acc"), -F.col("epoch"))).over(best)))
+    best = e.agg(F.max_by("epoch", F.struct(F.col("acc"), -F.col("epoch")))).first()[0]
+    return (running_before(e, ["epoch"], "acc", "prev_best")
+            .withColumn("improved", F.col("acc") > F.coalesce(F.col("prev_best"), F.lit(0.0)))
+            .withColumn("best_epoch", F.lit(best).cast("int")))
 
 
 @query("sort_paths", "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS ordinal FROM pages")

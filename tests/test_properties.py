@@ -225,3 +225,46 @@ def test_broadcast_only_if_small(spark):
     assert read_if_small(spark.range(20), max_rows=10) is None
     assert read_if_small(spark.createDataFrame([("x" * 5000,)], "s string")) is None
     assert broadcast_checked(spark.createDataFrame([], "k long")).collect() == []
+
+
+def test_gram_tiles(spark, monkeypatch):
+    """Wide tables with missing values: as numpy has it; tasks hand on tiles, not pairs; merged in a tree."""
+    import numpy as np
+    from tessera.operators import profile as pf
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 70)) + 1e6 * (np.arange(70) % 3 == 0)
+    x[:, 5], x[rng.uniform(size=x.shape) < 0.1] = 3.25, np.nan
+    cols = [f"x{i}" for i in range(70)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"{c} double" for c in cols)).repartition(70)
+    monkeypatch.setattr(pf, "FAN_IN", 8)                            # 70 tasks, nine groups
+    tiles = pf.gram_tiles(df, cols).collect()
+    assert sorted((t.bi, t.bj) for t in tiles) == [(0, 0), (0, 1), (1, 1)]
+    assert sum(len(t.tile) for t in tiles) == 6 * 8 * (64 * 64 + 64 * 6 + 6 * 6)
+    got = {(r.col_a, r.col_b): r.corr for r in pf.correlation_matrix(df, cols).collect()}
+    assert len(got) == 4900
+    for a in range(0, 70, 7):
+        for b in range(70):
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            if 5 in (a, b):
+                assert got[(cols[a], cols[b])] is None
+            else:
+                assert abs(got[(cols[a], cols[b])] - np.corrcoef(x[both, a], x[both, b])[0, 1]) < 1e-9
+
+
+def test_running_maximum_over_range_partitions(spark):
+    import random
+    from tessera.operators.ordinal import running_before
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, rng.uniform(0, 1 + i / 200)])) for i in range(500)]
+    df = spark.createDataFrame(rng.sample(rows, 500), "i int, v double")
+    out = running_before(df, ["i"], "v", "before")
+    best, want = None, {}
+    for i, v in rows:
+        want[i] = best
+        best = v if best is None or (v is not None and v > best) else best
+    assert {r.i: r.before for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_pid" in plan and "windowspecdefinition(i#" not in plan
+    assert running_before(df.where("false"), ["i"], "v", "b").collect() == []
+    sums = running_before(df, ["i"], "v", "s", aggregate=F.count, merge=lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    assert {r.i: r.s for r in sums.collect()}[499] == sum(v is not None for _, v in rows[:-1])
