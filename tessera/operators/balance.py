@@ -1,165 +1,192 @@
 """Within-class exact k-nearest neighbours and SMOTE oversampling.
 
-kNN does not form all pairs of a class up front.  Rows are projected on the
-two top principal axes (orthonormal, so |P(x - y)| <= |x - y|) and ranked
-inside their class along the first axis with the distributed ordinal.  Each
-query row first meets its k rank-neighbours on either side; the k-th
-smallest of those distances, r, bounds its true k-th neighbour distance.
-Every true neighbour then lies within r of the query in the projected plane,
-evaluated as an equi-join on (class, grid cell) with the query exploded over
-the cells its disc covers.  Exact, no cap on candidates; the candidate set
-shrinks with the structure of the data.  (On classes whose points are
-isotropic in many dimensions the k-th neighbour is nearly as far as a
-typical point, and every exact method compares nearly all pairs; the join
-then spreads those pairs over tasks, with AQE splitting a dominant cell.)
+kNN compares a query with few rows of its class where the data allow it, by a
+pivot partition.  Some rows of every class (the square root of its size, at most
+``pivots``) are pivots; every row belongs to the cell of its nearest pivot and
+keeps its distance to it.  The k-th nearest in a query's own block of rows bounds
+its true k-th neighbour by r.  By the triangle inequality a cell further away than
+its radius plus r holds no neighbour, nor does a row of a cell whose distance to
+the pivot differs from the query's by more than r; the others are compared
+exactly.  No cap on candidates.  On classes that are isotropic in many dimensions
+the k-th neighbour is nearly as far as a typical point, and every exact method
+compares nearly all pairs; ``pairs_compared`` gives the share.
+
+Cells are dealt to blocks of about ``cell_target`` rows and queries to groups of
+the same size, so no task holds more of either; pivots are a bounded number of
+rows per class and meet the rows by a shuffle.  Rows without a class have no
+neighbours.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import TWO_32, hash_key
-from tessera.operators.joins import broadcast_checked
 from tessera.operators.ordinal import rank_within
-from tessera.session import materialize
+from tessera.session import materialize, ship_package
 from tessera.operators.prep import _bounded_collect
 
-_SLACK = 1e-6
-_EPS = 2.0 ** -52
-
-
-def sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance, summed in array order, in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, t: acc + t)
-
-
-def principal_axes(df: DataFrame, vec: str, m: int = 2) -> list[list[float]]:
-    """Top-m principal directions (orthonormalised), from Spark ML PCA (one
-    distributed Gramian pass, d x d result)."""
-    import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    width = df.select(F.max(F.size(vec))).first()[0]
-    if not width:                      # no rows: any orthonormal axes do
-        return [[1.0]] + ([[0.0]] if m > 1 else [])
-    m = max(1, min(m, width))
-    vecs = df.select(array_to_vector(F.col(vec)).alias("_f"))
-    pc = PCA(k=m, inputCol="_f").fit(vecs).pc.toArray()           # (d, m)
-    q, _ = np.linalg.qr(np.nan_to_num(pc))
-    return [list(map(float, q[:, i])) for i in range(q.shape[1])]
-
-
-def _dot(v: Column, u: list[float]) -> Column:
-    return F.aggregate(F.zip_with(v, F.array(*[F.lit(x) for x in u]), lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, t: acc + t)
+_SLACK = 1e-9            # of the distances compared: far above the rounding of their sums
+
+
+def _vectors(table: pa.Table, column: str) -> np.ndarray:
+    lists = table.column(column).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _sq_dists(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to ``q``, summed in array order."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        d = x[:, j] - q[j]
+        out += d * d
+    return out
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """``df`` under column references of its own: both sides of a cogroup come from one table here."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _dealt(rows: DataFrame, by: list[str], target: int, out: str) -> DataFrame:
+    """``out``: a part of each group of ``by``, of about ``target`` rows, by a hash of the id."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / target).cast("int").alias("_parts"))
+    return rows.join(sizes, by).withColumn(out, F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+
+
+def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_target: int) -> DataFrame:
+    """(_id, nbr_id, dist2, compared): the k nearest of every query in each
+    block it was compared with, and one row per query and block (nbr_id null)
+    with the number of rows compared."""
+    ship_package(cand.sparkSession)
+    id_type = cand.schema["_id"].dataType.simpleString()
+    c_type = cand.schema["_c"].dataType.simpleString()
+    order = Window.partitionBy("_c").orderBy(F.xxhash64("_id"), "_id")
+    ranked = cand.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
+    sizes = cand.groupBy("_c").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_few"), F.ceil(F.count(F.lit(1)) / cell_target).cast("int").alias("_parts"))
+    chosen = materialize(ranked.join(sizes, "_c").where(F.col("_r") <= F.col("_few")).select("_c", F.col("_r").alias("_cell"), F.col("_v").alias("_pv"), "_parts"))
+    to_parts = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def nearest_pivot(rows: pa.Table, piv: pa.Table) -> pa.Table:
+        x, p, cells = _vectors(rows, "_v"), _vectors(piv, "_pv"), piv.column("_cell").to_numpy()
+        best, cell = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+        for v, c in zip(p, cells):
+            d = _sq_dists(x, v)
+            near = d < best
+            best[near], cell[near] = d[near], c
+        return rows.select(["_id", "_v", "_c"]).append_column("_cell", pa.array(cell, pa.int32())).append_column("_dist", pa.array(np.sqrt(best)))
+
+    dealt = _own(cand).join(sizes.select("_c", "_parts"), "_c").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    v_type = "array<double>"
+    celled = dealt.groupBy("_c", "_part").cogroup(_own(to_parts(chosen)).groupBy("_c", "_part")).applyInArrow(
+        nearest_pivot, f"_id {id_type}, _v {v_type}, _c {c_type}, _cell int, _dist double")
+    celled = materialize(_dealt(materialize(celled), ["_c", "_cell"], cell_target, "_part"))
+    radii = celled.groupBy("_c", "_cell").agg(F.max("_dist").alias("_radius"), F.max("_parts").alias("_blocks"))
+
+    def own_bound(rows: pa.Table) -> pa.Table:
+        x, asked = _vectors(rows, "_v"), np.flatnonzero(rows.column("_asked").to_numpy(zero_copy_only=False))
+        bound = np.full(len(asked), np.inf)
+        for n, i in enumerate(asked):
+            if len(x) > k:
+                bound[n] = np.sqrt(np.partition(_sq_dists(x, x[i]), k)[k])          # the row itself is among them
+        return rows.select(["_id", "_v", "_c"]).take(pa.array(asked)).append_column("_bound", pa.array(bound))
+
+    asked = queries.select("_id").distinct().withColumn("_asked", F.lit(True))
+    marked = celled.join(asked, "_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    bounded = materialize(marked.groupBy("_c", "_cell", "_part").applyInArrow(own_bound, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double"))
+
+    def near_cells(rows: pa.Table, piv: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and piv.num_rows:
+            p, radius = _vectors(piv, "_pv"), piv.column("_radius").to_numpy()
+            for i, (q, r) in enumerate(zip(_vectors(rows, "_v"), rows.column("_bound").to_numpy())):
+                d = np.sqrt(_sq_dists(p, q))
+                for j in np.flatnonzero(~(d - radius > r + _SLACK * (d + radius))):
+                    out.append((i, j, d[j]))
+        i, j, d = zip(*out) if out else ((), (), ())
+        got, cell = rows.select(["_id", "_v", "_c", "_bound"]).take(pa.array(i, pa.int64())), piv.select(["_cell", "_blocks"]).take(pa.array(j, pa.int64()))
+        return pa.table([*got.columns, *cell.columns, pa.array(d, pa.float64())], names=[*got.column_names, "_cell", "_blocks", "_dq"])
+
+    cells = chosen.select("_c", "_cell", "_pv", "_parts").join(radii, ["_c", "_cell"])
+    groups = bounded.join(sizes.select("_c", "_parts"), "_c").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    sent = groups.groupBy("_c", "_part").cogroup(_own(to_parts(cells)).groupBy("_c", "_part")).applyInArrow(
+        near_cells, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double, _cell int, _blocks int, _dq double")
+    sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+
+    def compared(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, near, dist, count = [], [], [], []
+        if rows.num_rows and asked.num_rows:
+            from_pivot = rows.column("_dist").to_numpy()
+            order = np.argsort(from_pivot, kind="stable")
+            from_pivot, x = from_pivot[order], _vectors(rows, "_v")[order]
+            names = rows.column("_id").take(pa.array(order)).to_pylist()
+            for name, q, r, dq in zip(asked.column("_id").to_pylist(), _vectors(asked, "_v"), asked.column("_bound").to_numpy(), asked.column("_dq").to_numpy()):
+                slack = r + _SLACK * (dq + (from_pivot[-1] if len(from_pivot) else 0.0))
+                lo, hi = np.searchsorted(from_pivot, dq - slack, "left"), np.searchsorted(from_pivot, dq + slack, "right")
+                d = _sq_dists(x[lo:hi], q)
+                at = np.arange(len(d)) if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
+                best = sorted((d[i], names[lo + i]) for i in at if names[lo + i] != name)[:k]
+                ids += [name] * (len(best) + 1)
+                near += [b for _, b in best] + [None]
+                dist += [a for a, _ in best] + [None]
+                count += [None] * len(best) + [hi - lo]
+        kind = rows.schema.field("_id").type
+        return pa.table([pa.array(ids, kind), pa.array(near, kind), pa.array(dist, pa.float64()), pa.array(count, pa.int64())], names=["_id", "nbr_id", "dist2", "compared"])
+
+    return _own(celled.select("_c", "_cell", "_part", "_id", "_v", "_dist")).groupBy("_c", "_cell", "_part").cogroup(sent.groupBy("_c", "_cell", "_part")).applyInArrow(
+        compared, f"_id {id_type}, nbr_id {id_type}, dist2 double, compared long")
+
+
+def _candidates(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int, checkpoint_input: bool) -> tuple[DataFrame, DataFrame]:
+    """(all rows, the k + 1 smallest ids of each class and vector): at equal
+    distance ties go to the smaller id, so no further copy is anyone's neighbour.
+    The row_number filter is applied in every partition before the shuffle, so a
+    huge group of copies never gathers in one task."""
+    base = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"), F.col(label_col).alias("_c")).where("_c is not null")
+    if checkpoint_input:
+        base = materialize(base)
+    dup = Window.partitionBy("_c", "_v").orderBy("_id")
+    return base, materialize(base.withColumn("_dr", F.row_number().over(dup)).where(F.col("_dr") <= k + 1))
 
 
 def knn_within_class(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
-                     queries: DataFrame | None = None, axes: list[list[float]] | None = None,
+                     queries: DataFrame | None = None, pivots: int = 64,
                      cell_target: int = 20_000, checkpoint_input: bool = True) -> DataFrame:
     """Exact k nearest same-class neighbours of each query row (self
     excluded, ties by neighbour id): (id, nbr_rank, nbr_id, nbr_vec, dist2).
-    ``queries``: optional frame of ids to restrict the left side.
-    ``cell_target``: a grid cell holding more candidate rows is split into
-    hash salts of about this size (queries are replicated over the salts),
-    so a dense cell's pair work is spread over many tasks."""
-    base = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
-                     F.col(label_col).alias("_c"))
-    if checkpoint_input:
-        # several passes read the input (axes, copies, ranks): compute it once
-        base = materialize(base)
-    if axes is None:
-        axes = principal_axes(base, "_v", 2)
-    # coordinates on orthonormal axes: |P(x - y)| <= |x - y|.  Vectors are
-    # centred on their class first, and _err bounds the rounding of centring
-    # and projection (one vector of d doubles per class)
-    longest = base.select("_c", "_v", F.aggregate("_v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))).alias("_m"), F.size("_v").alias("_d"))
-    centre = (longest.select("_c", "_m", "_d", F.posexplode("_v").alias("_i", "_x"))
-              .groupBy("_c", "_i").agg(F.avg("_x").alias("_x"), F.max("_m").alias("_m"), F.max("_d").alias("_d"))
-              .groupBy("_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_mu"),
-                                 (8 * _EPS * F.max("_d") * F.max("_m")).alias("_err")))
-    base = base.join(broadcast_checked(centre.withColumnRenamed("_c", "_cc")), F.col("_c").eqNullSafe(F.col("_cc")), "left").drop("_cc")
-    near = F.zip_with("_v", "_mu", lambda x, m: x - m)
-    base = base.withColumn("_p", _dot(near, axes[0]))
-    base = base.withColumn("_p2", _dot(near, axes[1]) if len(axes) > 1 else F.lit(0.0)).drop("_mu")
-    # Copies: at equal distance ties go to the smaller id, so only the k+1
-    # smallest ids of each (class, vector) can be anyone's neighbour.  The
-    # row_number filter runs as a per-partition WindowGroupLimit before the
-    # shuffle, so a huge group of copies never gathers in one task.
-    dup = Window.partitionBy("_c", "_v").orderBy("_id")
-    cand = base.withColumn("_dr", F.row_number().over(dup)).where(F.col("_dr") <= k + 1)
-    ranked = rank_within(cand, ["_p", "_id"], ["_c"], rank_col="_r", size_col="_n")       # checkpointed inside
-
+    ``queries``: optional frame of ids to restrict the left side."""
+    base, cand = _candidates(df, id_col, vec_col, label_col, k, checkpoint_input)
     qsel = base if queries is None else base.join(
         queries.select(F.col(queries.columns[0]).alias("_id")).distinct(), "_id", "left_semi")
     # deeper copies: their k nearest are the first k ids of their own group
-    deep = qsel.join(ranked.select("_id"), "_id", "left_anti")
-    firsts = ranked.where(F.col("_dr") <= k).select(
+    deep = qsel.join(cand.select("_id"), "_id", "left_anti")
+    firsts = cand.where(F.col("_dr") <= k).select(
         F.col("_c").alias("_fc"), F.col("_v").alias("_fv"), F.col("_id").alias("nbr_id"),
         F.col("_dr").cast("int").alias("nbr_rank"))
     deep_nn = deep.join(firsts, (deep["_c"] == firsts["_fc"]) & (deep["_v"] == firsts["_fv"])).select(
         F.col("_id").alias("id"), "nbr_rank", "nbr_id", F.col("_v").alias("nbr_vec"), F.lit(0.0).alias("dist2"))
-
-    q = ranked if queries is None else ranked.join(qsel.select("_id"), "_id", "left_semi")
-
-    # 1) seed radius from the k rank-neighbours on each side
-    offs = F.explode(F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0]))
-    seed = (q.select("_id", "_c", "_p", "_p2", "_err", "_r", "_n", "_v", offs.alias("_o"))
-            .withColumn("_t", F.col("_r") + F.col("_o"))
-            .where((F.col("_t") >= 0) & (F.col("_t") < F.col("_n"))))
-    other = ranked.select(F.col("_c").alias("_c2"), F.col("_r").alias("_t2"), F.col("_v").alias("_v2"))
-    cand = seed.join(other, (seed["_c"] == other["_c2"]) & (seed["_t"] == other["_t2"]))
-    # grouping by the query's own columns avoids joining the radius back
-    radius = (cand.groupBy("_id", "_c", "_p", "_p2", "_err")
-              .agg(F.first("_v").alias("_v"),
-                   F.sort_array(F.collect_list(sq_dist(F.col("_v"), F.col("_v2")))).alias("_ds"))
-              .select("_id", "_c", "_p", "_p2", "_err", "_v",
-                      F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_rad2")))
-    # one row per query: checkpointed so the band join below plans against
-    # a short lineage
-    qr = materialize(radius.withColumn("_rad", F.sqrt("_rad2") * (1 + _SLACK) + F.lit(1e-12) + F.col("_err")))
-
-    # 2) grid cell width per class (one row per class); a query covers at
-    # most 17 x 17 cells
-    width = (qr.groupBy("_c").agg(F.greatest(F.avg("_rad"), F.max("_rad") / 8).alias("_w"))
-             .withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0))))
-
-    def cells(lo, hi):
-        return F.sequence(F.floor(lo / F.col("_w")), F.floor(hi / F.col("_w")))
-
-    qb = (qr.join(width, "_c")
-          .withColumn("_b", F.explode(cells(F.col("_p") - F.col("_rad"), F.col("_p") + F.col("_rad"))))
-          .withColumn("_b2", F.explode(cells(F.col("_p2") - F.col("_rad"), F.col("_p2") + F.col("_rad")))))
-    yb = (ranked.join(width, "_c")
-          .select(F.col("_c").alias("_cy"), F.floor(F.col("_p") / F.col("_w")).alias("_by"),
-                  F.floor(F.col("_p2") / F.col("_w")).alias("_by2"),
-                  F.col("_id").alias("nbr_id"), F.col("_v").alias("nbr_vec"), F.col("_p").alias("_py"),
-                  F.col("_p2").alias("_py2")))
-
-    # 3) salt dense cells, exact band join, then the k smallest per query
-    salts = (yb.groupBy("_cy", "_by", "_by2").agg(F.count(F.lit(1)).alias("_cnt"))
-             .select(F.col("_cy").alias("_sc"), F.col("_by").alias("_sb"), F.col("_by2").alias("_sb2"),
-                     F.ceil(F.col("_cnt") / F.lit(float(cell_target))).cast("int").alias("_ns")))
-    yb = (yb.join(salts, (yb["_cy"] == salts["_sc"]) & (yb["_by"] == salts["_sb"]) & (yb["_by2"] == salts["_sb2"]))
-          .withColumn("_salt", F.pmod(F.xxhash64("nbr_id"), F.col("_ns")).cast("int"))
-          .drop("_sc", "_sb", "_sb2", "_ns"))
-    qb = (qb.join(salts, (qb["_c"] == salts["_sc"]) & (qb["_b"] == salts["_sb"]) & (qb["_b2"] == salts["_sb2"]))
-          .withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)))
-          .drop("_sc", "_sb", "_sb2", "_ns"))
-    d1, d2 = F.col("_py") - F.col("_p"), F.col("_py2") - F.col("_p2")
-    pairs = (qb.join(yb, (qb["_c"] == yb["_cy"]) & (qb["_b"] == yb["_by"]) & (qb["_b2"] == yb["_by2"])
-                     & (qb["_qsalt"] == yb["_salt"]))
-             .where((F.col("nbr_id") != F.col("_id")) & (d1 * d1 + d2 * d2 <= F.col("_rad") * F.col("_rad"))))
-    pairs = (pairs.withColumn("dist2", sq_dist(F.col("_v"), F.col("nbr_vec")))
-             .where(F.col("dist2") <= F.col("_rad2")))
+    cand = cand.select("_id", "_v", "_c")
+    pairs = _pivot_pairs(cand, qsel if queries is not None else cand, k, pivots, cell_target).where("nbr_id is not null")
     w = Window.partitionBy("_id").orderBy("dist2", "nbr_id")
     top = pairs.withColumn("nbr_rank", F.row_number().over(w)).where(F.col("nbr_rank") <= k)
-    top = top.select(F.col("_id").alias("id"), "nbr_rank", "nbr_id", "nbr_vec", "dist2")
+    vectors = cand.select(F.col("_id").alias("nbr_id"), F.col("_v").alias("nbr_vec"))
+    top = top.join(vectors, "nbr_id").select(F.col("_id").alias("id"), "nbr_rank", "nbr_id", "nbr_vec", "dist2")
     return top.unionByName(deep_nn)
 
 
+def pairs_compared(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, pivots: int = 64, cell_target: int = 20_000) -> DataFrame:
+    """(n_rows, n_pairs, n_compared): pairs of different vectors' rows within
+    classes, and how many of them a search for all neighbours compares."""
+    _, cand = _candidates(df, id_col, vec_col, label_col, k, True)
+    cand = cand.select("_id", "_v", "_c")
+    sizes = cand.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.col("n")).alias("n_pairs")).first()
+    done = _pivot_pairs(cand, cand, k, pivots, cell_target).agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("n_compared"))
+    return done.select(F.lit(sizes["n_rows"]).cast("long").alias("n_rows"), F.lit(sizes["n_pairs"]).cast("long").alias("n_pairs"), "n_compared")
+
+
 def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, strict: bool = False,
           chunk: int = 100_000) -> DataFrame:
     """Raise every class to the majority count with synthetic rows

@@ -97,3 +97,27 @@ def test_smote_keeps_string_ids(spark):
     assert sum(r.src == "synth" for r in out) == 30
     assert all(r.base_id in ids and r.nbr_id in ids for r in out if r.src == "synth")
     assert {r.seq for r in out if r.src == "orig"} == ids
+
+
+def test_pivots_prune_clustered_vectors(spark):
+    """64 dimensions, tight clusters: exact, with a small share of the pairs compared."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 64)) * 10
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.normal(size=64) * 0.05], "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string").repartition(5)
+    got = {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5).orderBy("id", "nbr_rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+    assert got == _brute(rows, 5)
+    share = bl.pairs_compared(df, "id", "vec", "label").first()
+    assert share.n_rows == 600 and share.n_pairs == 2 * 300 * 300
+    assert share.n_compared < 0.3 * share.n_pairs
+
+
+def test_knn_of_classless_rows(spark):
+    rows = [(1, [0.0], None), (2, [0.1], None), (3, [0.0], "a"), (4, [5.0], "a")]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    got = [(r.id, r.nbr_id) for r in bl.knn_within_class(df, "id", "vec", "label", 5).collect()]
+    assert sorted(got) == [(3, 4), (4, 3)]
+    assert bl.knn_within_class(df.where("false"), "id", "vec", "label", 5).collect() == []
