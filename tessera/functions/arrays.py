@@ -3,7 +3,7 @@ functions, so they stay inside whole-stage code generation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Per-channel normalisation of 3-channel images (ImageNet
@@ -31,6 +31,13 @@ def slice0(arr: Column, start: int, length: int | Column | None = None) -> Colum
     return F.slice(arr, start + 1, length)
 
 
+def array_to_columns(df: DataFrame, vec: str, prefix: str, width: int | None = None) -> DataFrame:
+    """``vec`` spread over columns prefix0, prefix1, ..., as many as its longest
+    array has elements (or ``width``); shorter arrays give nulls."""
+    width = width if width is not None else df.agg(F.max(F.size(vec))).first()[0] or 0
+    return df.select(*[c for c in df.columns if c != vec], *[F.get(vec, F.lit(i)).alias(f"{prefix}{i}") for i in range(max(width, 0))])
+
+
 def slice_modalities(arr: Column, widths) -> list[Column]:
     """Cut a fused vector back into consecutive parts; the last width may
     be None (= the rest)."""

@@ -37,6 +37,13 @@ def aligned(spark, sf):
                                  "sig": (v.v_sig_head(AUDIO_WIDTH), ["id"])})
 
 
+def aligned_ids(spark, sf):
+    """v_tab x v_img x the ids of v_sig by position: for what does not read the signals."""
+    v = Views(spark, sf)
+    return fu.align_by_position({"tab": (v.v_tab(), ["id"]), "img": (v.v_img(), ["id"]),
+                                 "sig": (v.t("events").select(F.col("user_id").alias("id")).distinct(), ["id"])})
+
+
 def aligned_mfcc(spark, sf):
     """v_tab x v_img x (AUDIO_WIDTH MFCC means of the whole of) v_sig by position."""
     v = Views(spark, sf)
@@ -61,7 +68,7 @@ def q_row_ordinal(spark, sf):
 
 @query("align_by_position", f"WITH {_ALIGN_CTES} SELECT ordinal, tab_id, tab_label, img_id, img_label, sig_id FROM al")
 def q_align_by_position(spark, sf):
-    return aligned(spark, sf).select("ordinal", "tab_id", "tab_label", "img_id", "img_label", "sig_id")
+    return aligned_ids(spark, sf).select("ordinal", "tab_id", "tab_label", "img_id", "img_label", "sig_id")
 
 
 @query("head_n", """SELECT id, ordinal FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM v_tab) t
@@ -86,7 +93,7 @@ _ZEROS_SQL = "[" + ", ".join(["0.0"] * AUDIO_WIDTH) + "]"
 @query("zero_fill_modality", f"""WITH {_ALIGN_CTES}
     SELECT ordinal, {_rl(f"{_TAB_ARR_SQL} || {_ZEROS_SQL} || CAST(vec AS DOUBLE[])")} AS fused FROM al""")
 def q_zero_fill_modality(spark, sf):
-    a = aligned(spark, sf)
+    a = aligned_ids(spark, sf)
     fused = F.concat(_tab_arr(), ar.zeros(AUDIO_WIDTH), ar.to_double(F.col("img_vec")))
     return a.select("ordinal", ar.round_array(fused).alias("fused"))
 
@@ -115,7 +122,7 @@ def q_shape_report(spark, sf):
         v.v_img().agg(F.lit("img").alias("stage"), F.count(F.lit(1)).alias("n_rows"),
                       F.max(F.size("vec")).cast("int").alias("n_cols")),
         v.v_sig().agg(F.lit("audio").alias("stage"), F.count(F.lit(1)).alias("n_rows"), F.lit(AUDIO_WIDTH).alias("n_cols")),
-        aligned(spark, sf).agg(F.lit("fused").alias("stage"), F.count(F.lit(1)).alias("n_rows"),
+        aligned_ids(spark, sf).agg(F.lit("fused").alias("stage"), F.count(F.lit(1)).alias("n_rows"),
                                (F.max(F.size("img_vec")) + len(TF) + AUDIO_WIDTH).cast("int").alias("n_cols")),
     ]
     out = parts[0]
@@ -126,7 +133,8 @@ def q_shape_report(spark, sf):
 
 @query("array_to_columns", "SELECT id, " + ", ".join(f"vec[{i + 1}] AS img_pixel_{i}" for i in range(64)) + " FROM v_img")
 def q_array_to_columns(spark, sf):
-    return Views(spark, sf).v_img().select("id", *[F.col("vec")[i].alias(f"img_pixel_{i}") for i in range(64)])
+    v = Views(spark, sf).v_img()
+    return ar.array_to_columns(v.select("id", "vec"), "vec", "img_pixel_")
 
 
 @query("slice_modalities", "SELECT id, vec[1:21] AS tab, vec[22:34] AS aud, vec[35:] AS img FROM v_img")

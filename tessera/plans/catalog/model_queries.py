@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import arrays as ar, text as tx
-from tessera.operators import train as tr
+from tessera.operators import score as sc, stages as st, train as tr
 from tessera.plans import evaluation as ev, stored_scoring as ss
 from tessera.plans.catalog.fusion_queries import aligned_mfcc
 from tessera.plans.catalog.registry import query, r6
@@ -113,6 +113,31 @@ _STORED_CTES = f"""ta AS (SELECT row_number() OVER (ORDER BY id) AS o, * FROM v_
                [{", ".join(f"'{c}'" for c in CLASSES)}][list_position(list(score ORDER BY c), max(score))] AS pred_label FROM sc GROUP BY id, label)"""
 
 
+@query("fused_rows", f"""WITH {_STORED_CTES} SELECT o - 1 AS ordinal, list_transform(x, lambda v: round(v, 6) + 0.0) AS vec FROM fused""")
+def q_fused_rows(spark, sf):
+    """The fused feature table: tabular fields, figures of the whole signal, image vector."""
+    return ss.training_rows(spark, sf).select("ordinal", F.transform("vec", lambda v: R6(v)).alias("vec"))
+
+
+def _three_branches():
+    """A stand-in for a network with a branch per modality: forward(tab, aud, img) -> class scores."""
+    rng = np.random.default_rng(11)
+    w_tab, w_aud, w_img = (rng.standard_normal((n, len(CLASSES))).astype(np.float32) for n in (len(TF), ss.AUDIO_WIDTH, ss.IMAGE_WIDTH))
+
+    def forward(tab: np.ndarray, aud: np.ndarray, img: np.ndarray) -> np.ndarray:
+        return np.tanh(tab @ w_tab) + np.tanh(aud @ w_aud) + np.tanh(img @ w_img)
+    return forward
+
+
+@query("forward_three_parts")
+def q_forward_three_parts(spark, sf):
+    """A caller's three-branch model over the scaled parts of the fused rows."""
+    rows = ss.training_rows(spark, sf)
+    state = st.TrainingPipeline(stages=[st.ArrayMedianImputer(inputCol="vec"), st.ArrayPopulationScaler(inputCol="vec")]).fit(rows)
+    got = sc.external_model_scores(state.transform(rows), _three_branches, "vec", [len(TF), ss.AUDIO_WIDTH, ss.IMAGE_WIDTH])
+    return sc.decode_argmax(got, "scores").select("id", "scores", "pred_label")
+
+
 def _external_images(spark, sf):
     folder = F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("label") % len(EMOTIONS) + 1)
     return Views(spark, sf).v_img().select("id", folder.alias("folder"), "vec")
