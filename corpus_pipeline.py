@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, linededup, mixing, quality, simhash
 from tessera.llm.catalog import DOMAINS
-from tessera.llm.tables import written
+from tessera.llm.tables import free_name, row_struct, written
 from tessera.session import ship_package
 from tessera.sources.tables import table
 
 MIN_QUALITY = 0.3
+DOMAIN = "__domain"
 #: weights among siblings; what is not named has weight 1
-WEIGHTS = {"__domain": {"web": 5, "reference": 2, "other": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
+WEIGHTS = {DOMAIN: {"web": 5, "reference": 2, "other": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
 #: tokens wanted, of the tokens there are
 BUDGET = "tokens * 9 div 10"
 
@@ -31,17 +32,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose quality score is MIN_QUALITY at least."""
     ship_package(spark)
     model = quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="__score").where(F.col("__score") >= MIN_QUALITY).select(*docs.columns)
+    score = free_name(docs, "__score")
+    return quality.score(docs, model, out_col=score).where(F.col(score) >= MIN_QUALITY).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines deleted from later documents; a document that
     loses its last word so is dropped, and n_chars follows the text."""
     ship_package(spark)
-    got = linededup.dedup_lines(docs.drop("n_removed"))
+    got = linededup.dedup_lines(docs.select("doc_id", "text", row_struct(docs).alias("row")))
     gone = (F.col("n_removed") > 0) & (F.col("text") == "")
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return got.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", chars).select(*docs.columns)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": chars}
+    return got.where(~F.coalesce(gone, F.lit(False))).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +52,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     among rows of one id the one whose text has the smallest hash.  Documents
     without an id belong to no group and stay."""
     ship_package(spark)
-    own = docs.withColumn("__th", F.xxhash64("text"))
-    groups = simhash.near_duplicates(own, shingle_words=4, max_bits=4, segments=3, keep=("__th",))
-    first = groups.where(F.col("doc_id").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "__th")).alias("row")).select("row.*").distinct()
-    kept = own.join(first, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), row_struct(docs).alias("row"))
+    groups = simhash.near_duplicates(own, shingle_words=4, max_bits=4, segments=3, keep=("th",))
+    first = groups.where(F.col("doc_id").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.*").distinct()
+    kept = own.join(first, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("row.*")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +64,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     domain = F.lit("other")
     for name, sources in DOMAINS.items():
         domain = F.when(F.col("source").isin(sources), F.lit(name)).otherwise(domain)
-    taken = mixing.mix(docs.withColumn("__domain", domain), ["__domain", "lang", "source"], WEIGHTS, F.expr(BUDGET), epochs=1)
-    return taken.select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", domain.alias(DOMAIN), row_struct(docs).alias("row"))
+    taken = mixing.mix(rows, [DOMAIN, "lang", "source"], WEIGHTS, F.expr(BUDGET), epochs=1)
+    return taken.select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
