@@ -119,8 +119,9 @@ def fingerprint_links(prints: DataFrame, fp_col: str = "fp", max_bits: int = 3,
     """(a, b): links between distinct fingerprints that connect exactly those
     that chains of at most ``max_bits`` differing bits connect."""
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few bytes, but many rows to come: the filing below runs in as many tasks as a shuffle has
-    own = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct().repartition(tasks, "fp")
+    # few bytes, but many rows to come: the filing below runs in as many tasks as a shuffle has (by
+    # another expression than distinct's own, which Spark would take for the same partitioning and coalesce)
+    own = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct().repartition(tasks, F.xxhash64("fp", F.lit("file")))
     radius = max_bits // segments
     masks, keys = [], []
     for number, (shift, width) in enumerate(_parts(segments)):
