@@ -13,7 +13,7 @@ Piece probabilities are smoothed relative counts of the vocabulary's own
 segmentation over a bounded sample of labelled rows (``max_train_docs``);
 the count table has at most vocabulary size x languages rows.
 
-Defined cases: null text, or text without a letter: ``und`` with score 0;
+Defined cases: null text, or text without a letter (Unicode category L): ``und`` with score 0;
 without any labelled row every text is ``und``; a character that no piece
 covers has one fixed small probability in every language; ties go to the
 alphabetically first language; very long words are scored whole (the forward
@@ -22,7 +22,6 @@ variables are rescaled); extra columns pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.quality import chunks
+from tessera.llm.tables import free_name
 
 UNKNOWN = 1e-9                   # probability of a character that is no piece
 CACHE_WORDS = 400_000            # distinct words a task keeps before it starts afresh
+FRESH_WORDS = 50_000             # new words that make a pass of the forward algorithm
+FRESH_CHARS = 4_000_000          # text held back for it at most
 _B = np.uint64(0x100000001B3)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"                  # the vocabulary's word-start sign
 
 
@@ -126,29 +127,50 @@ class Model:
         self.table = PieceTable(pieces)
 
     def predict(self, batches):
-        """For each list of texts: (languages, scores)."""
+        """For each list of texts: (languages, scores).  New words are gathered
+        over lists, FRESH_WORDS of them or FRESH_CHARS of text, before the
+        forward algorithm runs for them."""
         number: dict[str, int] = {}
         logs = np.zeros((0, len(self.langs)))
+        waiting: list[tuple[list, list]] = []
+        fresh: set[str] = set()
+        chars = 0
+
+        def known() -> None:
+            nonlocal number, logs, fresh
+            if len(number) + len(fresh) > CACHE_WORDS and number:
+                number, logs = {}, np.zeros((0, len(self.langs)))
+                fresh = {w for _, split in waiting for ws in split for w in ws}
+            if fresh:
+                words = list(fresh)
+                number.update(zip(words, range(len(number), len(number) + len(words))))
+                logs = np.concatenate((logs, word_loglik(words, self.table, self.prob)))
+                fresh = set()
+
         for texts in batches:
             split = [t.split() if isinstance(t, str) else [] for t in texts]
-            fresh = list({w for ws in split for w in ws if w not in number})
-            if fresh:
-                if len(number) + len(fresh) > CACHE_WORDS and number:
-                    number, logs = {}, np.zeros((0, len(self.langs)))
-                    fresh = list({w for ws in split for w in ws})
-                number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
-                logs = np.concatenate((logs, word_loglik(fresh, self.table, self.prob)))
-            langs, scores = [], []
-            for t, ws in zip(texts, split):
-                if not self.langs or not ws or not _LETTER.search(t):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total = logs[np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0)
-                k = int(total.argmax())
-                langs.append(self.langs[k])
-                scores.append(float(1.0 / np.exp(total - total[k]).sum()))
-            yield langs, scores
+            fresh.update(w for ws in split for w in ws if w not in number)
+            waiting.append((texts, split))
+            chars += sum(len(t) for t in texts if isinstance(t, str))
+            if len(fresh) >= FRESH_WORDS or chars >= FRESH_CHARS:
+                known()
+                yield from (self._scored(*w, number, logs) for w in waiting)
+                waiting, chars = [], 0
+        known()
+        yield from (self._scored(*w, number, logs) for w in waiting)
+
+    def _scored(self, texts: list, split: list, number: dict, logs: np.ndarray) -> tuple[list, list]:
+        langs, scores = [], []
+        for t, ws in zip(texts, split):
+            if not self.langs or not ws or not any(map(str.isalpha, t)):
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            total = logs[np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0)
+            k = int(total.argmax())
+            langs.append(self.langs[k])
+            scores.append(float(1.0 / np.exp(total - total[k]).sum()))
+        return langs, scores
 
 
 def fit(labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -200,6 +222,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
                                          for i, j in chunks([t or "" for t in texts])):
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    hidden = "__langid"
+    hidden = free_name(df, "__langid")
     return (df.withColumn(hidden, predicted(F.col(text_col)))
             .withColumns({lang_col: F.col(f"{hidden}.lang"), score_col: F.col(f"{hidden}.score")}).drop(hidden))
