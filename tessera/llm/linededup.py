@@ -23,7 +23,8 @@ Defined cases: null text stays null; empty text stays empty; rows equal in id
 and text are one document and are edited alike; a null id orders last; blank
 lines never match and stay, except that a document whose last word is deleted
 becomes empty; long texts are split into lines whole; an empty table gives an
-empty result; extra columns pass through (``n_removed`` is replaced).
+empty result; extra columns of any name pass through (``n_removed`` is replaced); ids
+that are no integers are ordered as strings.
 """
 
 from __future__ import annotations
@@ -37,9 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import written
-
-LAST = 9223372036854775807
+from tessera.llm.tables import order_key, row_struct, written
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -163,7 +162,7 @@ def removed(first: list, later: list, min_words: int) -> list[int]:
 def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, th, pos, h, w, runs): the lines with words of each document, and its
     runs of ``min_words`` words as (hash, first line, last line)."""
-    own = (df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t"))
+    own = (df.select(order_key(df, id_col).alias("id"), F.col(text_col).alias("t"))
            .where("t is not null").withColumn("th", F.xxhash64("t")))
     parts = own.select("id", "th", F.filter(F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(
         i.alias("pos"), F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))), lambda x: x["w"] > 0).alias("parts"))
@@ -178,7 +177,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 got.append([(xxhash.xxh64_intdigest(raw[8 * s:8 * e]) - 2 ** 63, s, e - 1) for s, e in runs(w.as_py(), min_words)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*batch.schema.names, "runs"])
 
-    return cols.mapInArrow(with_runs, "id long, th long, pos array<int>, h array<long>, w array<int>, "
+    return cols.mapInArrow(with_runs, f"id {own.schema['id'].dataType.simpleString()}, th long, pos array<int>, h array<long>, w array<int>, "
                                       "runs array<struct<h:long,lo:int,hi:int>>")
 
 
@@ -209,7 +208,7 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             out = pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "gone": gone})
             yield out[out["gone"].map(len) > 0]
 
-    found = both.select("id", "th", "a", "b").mapInPandas(lost, "id long, th long, gone array<int>")
+    found = both.select("id", "th", "a", "b").mapInPandas(lost, f"id {lines.schema['id'].dataType.simpleString()}, th long, gone array<int>")
     return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
@@ -217,11 +216,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``df`` with the repeated blocks of later documents deleted from the
     text, and ``n_removed``, the number of lines deleted."""
     gone = deletions(df, id_col, text_col, min_words)
-    own = (df.drop("n_removed").withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__th": F.xxhash64(text_col)}))
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    left = F.concat_ws("\n", F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)))
-    return (own.join(gone, ["__id", "__th"], "left")
-            .withColumns({text_col: F.when(F.col("__gone").isNull(), F.col(text_col))
-                          .otherwise(F.when(F.length(F.trim(F.regexp_replace(left, r"\s+", " "))) > 0, left).otherwise(F.lit(""))),
-                          "n_removed": F.coalesce(F.size("__gone"), F.lit(0))})
-            .select(*[c for c in df.columns if c != "n_removed"], "n_removed"))
+    own = df.select(row_struct(df).alias("row"), order_key(df, id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    left = F.concat_ws("\n", F.filter(F.split("t", "\n", -1), lambda x, i: ~F.array_contains("gone", i)))
+    kept = (F.when(F.col("gone").isNull(), F.col("t"))
+            .otherwise(F.when(F.length(F.trim(F.regexp_replace(left, r"\s+", " "))) > 0, left).otherwise(F.lit(""))))
+    return own.join(gone, ["id", "th"], "left").select(
+        *[kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c != "n_removed"],
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

@@ -38,6 +38,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import row_struct
 from tessera.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,11 +104,11 @@ def mix(df: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str,
     budget = F.lit(budget) if isinstance(budget, int) else budget
     keys = [f"__level{i}" for i in range(len(levels))]
     by_key = {k: weights.get(name, {}) for k, name in zip(keys, levels)}
-    named = {k: F.coalesce(F.col(name).cast("string"), F.lit(NULL_NODE)) for k, name in zip(keys, levels)}
-    rows = (df.drop("epoch", "n_tokens").withColumns(named)
-            .withColumn("__tokens", n_tokens(F.col(text_col)))
+    named = {k: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(NULL_NODE)) for k, name in zip(keys, levels)}
+    rows = (df.select(row_struct(df, ("epoch", "n_tokens")).alias("__row"), F.col(id_col).alias("__id"), n_tokens(F.col(text_col)).alias("__tokens"),
+                      *[c.alias(k) for k, c in named.items()])
             .withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
-            .withColumn("__h", order_hash(F.col(id_col), F.col("epoch"), seed))
+            .withColumn("__h", order_hash(F.col("__id"), F.col("epoch"), seed))
             .withColumn("__bucket", F.shiftright("__h", HASH_BITS - bucket_bits).cast("long")))
     narrow = rows.select(*keys, "epoch", "__bucket", "__tokens")
     sums = narrow.groupBy(*keys, "epoch", "__bucket").agg(F.sum("__tokens").alias("bucket_tokens"))
@@ -126,10 +127,10 @@ def mix(df: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str,
     stop = F.struct(F.col("end.epoch"), F.col("end.__bucket"))
     whole = here.where(F.col("end").isNull() | (place < stop))
     edge = here.where(place == stop)
-    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    line = (Window.partitionBy(*keys).orderBy("__h", F.col(id_col), digest)
+    digest = F.md5(F.coalesce(F.col("__row").getField(text_col).cast("string"), F.lit("")))
+    line = (Window.partitionBy(*keys).orderBy("__h", "__id", digest)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = (edge.withColumn("__upto", F.col("end.start") + F.sum("__tokens").over(line))
             .where("__upto <= end.budget").drop("__upto"))
-    out = whole.unionByName(kept).withColumn("n_tokens", F.col("__tokens"))
-    return out.drop(*keys, "__tokens", "__h", "__bucket", "end")
+    names = [c for c in df.columns if c not in ("epoch", "n_tokens")]
+    return whole.unionByName(kept).select(*[F.col("__row").getField(c).alias(c) for c in names], "epoch", F.col("__tokens").alias("n_tokens"))

@@ -50,9 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tables import written
+from tessera.llm.tables import order_key, row_struct, written
 
-LAST = 9223372036854775807
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 PIECE = 1 << 20          # bytes of a text that are split at once
 SLICE = 200_000          # words that are hashed together
@@ -205,13 +204,8 @@ def _slices(batch, text_col: str):
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, t, row): the order of the documents, the text, and all columns."""
-    kind = df.schema[id_col].dataType
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        own = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    else:
-        own = F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1"))
-    return df.select(own.alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).cast("string").alias("t"),
-                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return df.select(order_key(df, id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).cast("string").alias("t"),
+                     row_struct(df).alias("row"))
 
 
 def _bitmap(seen: DataFrame, bits: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from tessera.llm import bpe, quality
 from tessera.llm.tables import written
 from tests.conftest import SF_SMALL
-from tests.llm.test_lines import brute as lines_brute
+from tests.llm.test_lines import blocks as lines_brute
 from tests.llm.test_simhash import brute as prints_brute
 from tests.llm.test_simhash import plain
 
