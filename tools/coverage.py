@@ -30,7 +30,7 @@ def main():
         keys = [k for k in re.findall(r"`([a-z_0-9]+)`", cells[-1]) if k in QUERIES]
         if not keys and oid.startswith("X"):
             keys = {"X1": ["audio_features", "signal_features"], "X2": ["image_features"],
-                    "X3": ["embed_images"]}.get(oid, [])
+                    "X3": ["embed_images", "forward_three_parts"]}.get(oid, [])
         locs, kinds = [], []
         for k in keys:
             seen.add(k)
