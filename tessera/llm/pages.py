@@ -1,8 +1,7 @@
 """Main text of web pages by the template of their host.
 
-A page is read once as a sequence of tokens: tags and text, each qualified by
-the path of open elements above it (a short text gives its words, a longer one
-is a token as a whole).  A token's occurrence vector says how often it stands
+A page is read once as a sequence of tokens: tags and the words of short texts,
+each qualified by the path of open elements above it.  A token's occurrence vector says how often it stands
 on each page of the host.  Tokens that stand once on at least half of the
 host's pages, with equal vectors, form an equivalence class; classes of two
 tokens or more are kept.
@@ -61,7 +60,8 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import written
 
 MIN_PAGES = 5                    # a smaller host gets no template
-SHORT_WORDS = 8                  # words up to which a text's words are tokens of their own
+SHORT_WORDS = 8                  # words up to which a text's words are tokens
+LEVEL = 9                        # of zstandard, for what is shuffled
 FLUSH_TOKENS = 300_000           # tokens a task sums up before it hands them on
 
 # Elements of HTML by kind, and words that mark regions.
@@ -221,10 +221,8 @@ class Page:
         text = html_lib.unescape(raw) if "&" in raw else raw
         words = text.split()
         first = len(self.tokens)
-        if 0 < len(words) <= SHORT_WORDS:
+        if len(words) <= SHORT_WORDS:
             self.tokens.extend(_hash(top[1], "#" + w) for w in words)
-        elif words:
-            self.tokens.append(_hash(top[1], "#" + " ".join(words)))
         self.within.extend([top[7]] * (len(self.tokens) - first))
         self.texts.append((text, block, first, top[2], top[3], top[5], top[6], top[7]))
 
@@ -345,35 +343,44 @@ def article_element(slots: list[dict]) -> int | None:
 
 
 def _parsed(batches):
-    """Per page: what later passes need, tokens apart from texts."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    """Per page: what later passes need, compressed: tokens with their containers; containers and facts of texts;
+    hashes of texts; texts.  Texts that the marks drop are left out."""
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
     for batch in batches:
-        hosts, keys, tokens, within, boxes, facts, z, article = [], [], [], [], [], [], [], []
+        hosts, keys, article, columns = [], [], [], ([], [], [], [])
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page = read(html or "")
-            rows, raw = [], []
+            rows, hashes, raw = [], [], []
             for text, block, first, dropped, inside, heading, link, box in page.texts:
-                words = text.split()
-                data = text.encode("utf-8", "surrogatepass")
-                raw.append(data)
-                rows.append((block, first, dropped + 2 * inside + 4 * heading + 8 * link, box, len(words), len(data),
-                             _hash(0, " ".join(words)) if words else 0))
+                if not dropped:
+                    words, data = text.split(), text.encode("utf-8", "surrogatepass")
+                    raw.append(data)
+                    rows.append((block, first, 2 * inside + 4 * heading + 8 * link, box, len(words), len(data)))
+                    hashes.append(_hash(0, " ".join(words)) if words else 0)
             hosts.append(host_of(url))
             keys.append(xxhash.xxh64_intdigest(((url or "") + "\0" + (html or "")).encode("utf-8", "surrogatepass")) >> 1)
-            tokens.append(np.array(page.tokens, np.int64).tobytes())
-            within.append(np.array(page.within, np.int32).tobytes())
-            boxes.append(np.array(page.boxes, np.int64).tobytes())
-            facts.append(np.array(rows, np.int64).tobytes())
-            z.append(pack(b"".join(raw)))
             article.append(page.has_article)
+            head = np.array([len(page.boxes)], np.int32).tobytes()
+            for column, data in zip(columns, (np.array(page.tokens, np.int64).tobytes() + np.array(page.within, np.int32).tobytes(),
+                                              head + np.array(page.boxes, np.int32).tobytes() + np.array(rows, np.int32).T.tobytes(),
+                                              np.array(hashes, np.int64).tobytes(), b"".join(raw))):
+                column.append(pack(data))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(article, pa.bool_()),
-             *(pa.array(v, pa.binary()) for v in (tokens, within, boxes, facts, z))],
-            names=["id", "url", "host", "key", "article", "tokens", "within", "boxes", "facts", "z"])
+             *(pa.array(v, pa.binary()) for v in columns)],
+            names=["id", "url", "host", "key", "article", "tokens", "facts", "hashes", "z"])
+
+
+def _tokens(raw: bytes) -> tuple[list[int], list[int]]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.int64, n).tolist(), np.frombuffer(raw, np.int32, n, 8 * n).tolist()
 
 
-def _ints(raw: bytes, width: int) -> list:
-    return np.frombuffer(raw, np.int64).reshape(-1, width).tolist()
+def _facts(raw: bytes) -> tuple[list, list]:
+    """Containers, and of each text: block, first token, flags, container, words, bytes."""
+    got = np.frombuffer(raw, np.int32)
+    stop = 1 + 3 * int(got[0])
+    return got[1:stop].reshape(-1, 3).tolist(), got[stop:].reshape(6, -1).T.tolist()
 
 
 def _unpacked(column) -> list:
@@ -397,12 +404,13 @@ def _vectors(it):
              *(pa.array([v[i] for v in vals], pa.int64()) for i in range(4))],
             names=["host", "token", "vector", "pages", "total", "place"])
 
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in it:
         base = _unpacked(batch.column("base")) if "base" in batch.schema.names else [None] * batch.num_rows
-        for host, key, raw, within, template in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "tokens", "within")), base):
-            tokens = np.frombuffer(raw, np.int64).tolist()
+        for host, key, raw, template in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "tokens")), base):
+            tokens, within = _tokens(unpack(raw))
             if template is not None:
-                tokens = roles(tokens, template.nested(tokens), np.frombuffer(within, np.int32).tolist())
+                tokens = roles(tokens, template.nested(tokens), within)
             seen: dict[int, list[int]] = {}
             for place, token in enumerate(tokens):
                 got = seen.get(token)
@@ -457,15 +465,17 @@ def templates(pages: DataFrame, name: str, min_pages: int = MIN_PAGES) -> DataFr
 
 def _slot_stats(batches):
     """Per task and slot: pages, words, least and greatest content hash, whether in a heading; slot 0 stands for the page."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         sums: dict[tuple, list] = {}
         rows = zip(batch.column("host").to_pylist(), _unpacked(batch.column("base")), _unpacked(batch.column("template")),
-                   *(batch.column(c).to_pylist() for c in ("tokens", "within", "boxes", "facts")))
-        for host, base, template, tokens, within, boxes, facts in rows:
-            slots = Slots(base, template, np.frombuffer(tokens, np.int64).tolist(), np.frombuffer(within, np.int32).tolist(), _ints(boxes, 3))
+                   *(batch.column(c).to_pylist() for c in ("tokens", "facts", "hashes")))
+        for host, base, template, tokens, facts, hashes in rows:
+            boxes, texts = _facts(unpack(facts))
+            slots = Slots(base, template, *_tokens(unpack(tokens)), boxes)
             page: dict[tuple, list] = {(0, ()): [0, 0, False]}
-            for _, first, flags, box, words, _, content in _ints(facts, 7):
-                if flags & 1 or not words:
+            for (_, first, flags, box, words, _), content in zip(texts, np.frombuffer(unpack(hashes), np.int64).tolist()):
+                if not words:
                     continue
                 got = page.setdefault(slots.of(first, box), [0, 0, False])
                 got[0] += 0 if flags & 8 else words
@@ -542,26 +552,25 @@ def _texts(batches):
     for batch in batches:
         out = []
         rows = zip(_unpacked(batch.column("base")), _unpacked(batch.column("template")),
-                   *(batch.column(c).to_pylist() for c in ("article", "article_slots", "tokens", "within", "boxes", "facts", "z")))
-        for base, template, has_article, found, tokens, within, boxes, facts, z in rows:
+                   *(batch.column(c).to_pylist() for c in ("article", "article_slots", "tokens", "facts", "z")))
+        for base, template, has_article, found, tokens, facts, z in rows:
             data, at, texts = unpack(z), 0, []
-            for block, first, flags, box, words, size, _ in _ints(facts, 7):
+            boxes, facts = _facts(unpack(facts))
+            for block, first, flags, box, words, size in facts:
                 texts.append((data[at:at + size].decode("utf-8", "surrogatepass"), block, first, flags, box, words))
                 at += size
             own = []
             if base is not None and template is not None and found is not None:
                 element, *fixed = np.frombuffer(found, np.int64).tolist()
-                fixed = set(fixed)
-                slots = Slots(base, template, np.frombuffer(tokens, np.int64).tolist(), np.frombuffer(within, np.int32).tolist(), _ints(boxes, 3))
+                slots = Slots(base, template, *_tokens(unpack(tokens)), boxes)
                 for x in texts:
-                    if not x[3] & 1:
-                        slot, chain = slots.of(x[2], x[4])
-                        if element in chain and not (x[5] and slot in fixed):
-                            own.append(x)
+                    slot, chain = slots.of(x[2], x[4])
+                    if element in chain and not (x[5] and slot in fixed):
+                        own.append(x)
                 if any(x[3] & 2 and x[5] for x in own):
                     own = [x for x in own if x[3] & 2]
             if not any(x[5] for x in own):
-                own = [x for x in texts if not x[3] & 1 and (x[3] & 2 or not has_article)]
+                own = [x for x in texts if x[3] & 2 or not has_article]
             out.append(_joined((x[0], x[1]) for x in own))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], names=["id", "url", "text"])
 
@@ -572,12 +581,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     id_type = own.schema["id"].dataType.simpleString()
     parsed = written(own.mapInArrow(_parsed, f"id {id_type}, url string, host string, key long, article boolean, tokens binary, "
-                                             "within binary, boxes binary, facts binary, z binary"), "parsed")
-    base = templates(parsed.select("host", "key", "tokens", "within"), "base", min_pages).withColumnRenamed("packed", "base")
-    told = parsed.select("host", "key", "tokens", "within").join(base, "host")
+                                             "facts binary, hashes binary, z binary"), "parsed")
+    base = templates(parsed.select("host", "key", "tokens"), "base", min_pages).withColumnRenamed("packed", "base")
+    told = parsed.select("host", "key", "tokens").join(base, "host")
     full = templates(told, "template", min_pages).withColumnRenamed("packed", "template").join(base, "host")
-    slots = articles(parsed.select("host", "tokens", "within", "boxes", "facts").join(full, "host"), min_pages)
+    slots = articles(parsed.select("host", "tokens", "facts", "hashes").join(full, "host"), min_pages)
     dealt = parsed.join(full.join(slots, "host"), "host", "left")
-    got = dealt.select("id", "url", "article", "base", "template", "article_slots", "tokens", "within", "boxes", "facts", "z").mapInArrow(
+    got = dealt.select("id", "url", "article", "base", "template", "article_slots", "tokens", "facts", "z").mapInArrow(
         _texts, f"id {id_type}, url string, text string")
     return got.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -103,8 +103,8 @@ def classes_of(pages):
 
 def test_templates_equal_brute_force(spark):
     df = spark.read.parquet(f"{SF_MORE}/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
-    parsed = pg.written(df.mapInArrow(pg._parsed, "id long, url string, host string, key long, article boolean, tokens binary, within binary, boxes binary, "
-                                                  "facts binary, z binary"), "t_parsed")
+    parsed = pg.written(df.mapInArrow(pg._parsed, "id long, url string, host string, key long, article boolean, tokens binary, facts binary, "
+                                                  "hashes binary, z binary"), "t_parsed")
     by_host = collections.defaultdict(list)
     for r in df.collect():
         page = pg.read(r["html"] or "")
