@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import written
 
 MIN_PAGES = 5                    # a smaller host gets no template
-SHORT_WORDS = 8                  # words up to which a text's words are tokens
+SHORT_WORDS = 3                  # words up to which a text's words are tokens
 LEVEL = 9                        # of zstandard, for what is shuffled
 FLUSH_TOKENS = 300_000           # tokens a task sums up before it hands them on
 
