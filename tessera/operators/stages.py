@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import balance, prep
 from tessera.operators.metrics import argmax_index
-from tessera.session import materialize
+from tessera.session import for_solver
 
 MAX_CLASSES = 1 << 16
 
@@ -223,7 +223,7 @@ class Checkpoint(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     train_only = True
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return materialize(dataset)
+        return for_solver(dataset)
 
 
 class TrainingPipeline(Pipeline):

@@ -24,7 +24,7 @@ def ml_frame(df: DataFrame, vec: str, idx: str) -> DataFrame:
         "label", F.col(idx).cast("double"))
 
 
-from tessera.session import materialize  # noqa: E402,F401
+from tessera.session import for_solver, materialize  # noqa: E402,F401
 
 
 def logistic(n_train: int, max_iter: int = 1000) -> LogisticRegression:

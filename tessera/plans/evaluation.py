@@ -40,7 +40,7 @@ def prepare(df: DataFrame, id_col: str, vec: str, label: str, balance: bool = Tr
     if balance:
         train = bl.smote(train, id_col, vec, label).select(label, vec)
     encode = st.SortedLabelEncoderModel(inputCol=label, outputCol="idx", labels=labels)
-    train = tr.materialize(tr.ml_frame(encode.transform(train), vec, "idx"))
+    train = tr.for_solver(tr.ml_frame(encode.transform(train), vec, "idx"))
     test = tr.ml_frame(encode.transform(test), vec, "idx")
     index = df.sparkSession.createDataFrame(list(enumerate(labels)), f"idx int, {label} string").select(label, "idx")
     return Prepared(train, test, index, len(fitted.stages[1].getOrDefault("means")), len(labels))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,6 +82,21 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+SOLVER_PARTITIONS, SOLVER_BYTES = 12, 64 << 20
+
+
+def for_solver(df):
+    """``df`` materialized, in no more partitions than its size or the cores ask
+    for.  A solver runs jobs by the hundred over these rows, and each of their
+    tasks allocates and ships its statistics or gradients whole, however few
+    rows it has: that cost grows with the partitions."""
+    rows = materialize(df)
+    values = [F.coalesce(F.size(c), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
+    size = rows.agg(F.sum(sum(values, F.lit(len(df.columns)))).cast("long") * 8).first()[0] or 0
+    wanted = max(SOLVER_PARTITIONS, df.sparkSession.sparkContext.defaultParallelism, -(-size // SOLVER_BYTES))
+    return rows.coalesce(wanted) if rows.rdd.getNumPartitions() > wanted else rows
+
+
 _SHIPPED: set = set()
 
 

@@ -72,3 +72,14 @@ def test_stage_values(spark):
     scorer = st.LinearScorer(inputCol="v", weights=[1.0, 0.0, 0.0, 1.0], biases=[0.0, 1.0])
     got = scorer.transform(spark.createDataFrame([([2.0, 1.0],), ([0.0, 5.0],)], "v array<double>")).collect()
     assert [(r.scores, r.prediction) for r in got] == [([2.0, 2.0], 0.0), ([0.0, 6.0], 1.0)]
+
+
+def test_solver_rows_in_few_partitions(spark):
+    """Rows by the thousand in hundreds of partitions: a solver gets as many as cores or size ask for, and every row."""
+    from tessera.session import SOLVER_PARTITIONS, for_solver
+    df = spark.range(0, 3000, 1, 240).selectExpr("id", "array(cast(id as double), 1.0D) as vec")
+    got = for_solver(df)
+    most = max(SOLVER_PARTITIONS, spark.sparkContext.defaultParallelism)
+    assert got.rdd.getNumPartitions() <= most
+    assert sorted((r.id, r.vec) for r in got.collect()) == [(i, [float(i), 1.0]) for i in range(3000)]
+    assert for_solver(df.coalesce(3)).rdd.getNumPartitions() == 3 and for_solver(df.where("id < 0")).count() == 0
