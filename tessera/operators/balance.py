@@ -12,7 +12,8 @@ the k-th neighbour is nearly as far as a typical point, and every exact method
 compares nearly all pairs; ``pairs_compared`` gives the share.
 
 Cells are dealt to blocks of about ``cell_target`` rows and queries to groups of
-the same size, so no task holds more of either; pivots are a bounded number of
+the same size, and a block meets a group at a time, so no task holds more of
+either; pivots are a bounded number of
 rows per class and meet the rows by a shuffle.  Rows without a class have no
 neighbours.
 """
@@ -99,21 +100,29 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
     bounded = materialize(marked.groupBy("_c", "_cell", "_part").applyInArrow(own_bound, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double"))
 
     def near_cells(rows: pa.Table, piv: pa.Table) -> pa.Table:
-        out = []
+        """Every query once, with its cells as a list: the copies of its vector are made row by row after this."""
+        cells, blocks, dist, ends = [], [], [], [0]
         if rows.num_rows and piv.num_rows:
             p, radius = _vectors(piv, "_pv"), piv.column("_radius").to_numpy()
-            for i, (q, r) in enumerate(zip(_vectors(rows, "_v"), rows.column("_bound").to_numpy())):
+            cell, block = piv.column("_cell").to_numpy(), piv.column("_blocks").to_numpy()
+            for q, r in zip(_vectors(rows, "_v"), rows.column("_bound").to_numpy()):
                 d = np.sqrt(_sq_dists(p, q))
-                for j in np.flatnonzero(~(d - radius > r + _SLACK * (d + radius))):
-                    out.append((i, j, d[j]))
-        i, j, d = zip(*out) if out else ((), (), ())
-        got, cell = rows.select(["_id", "_v", "_c", "_bound"]).take(pa.array(i, pa.int64())), piv.select(["_cell", "_blocks"]).take(pa.array(j, pa.int64()))
-        return pa.table([*got.columns, *cell.columns, pa.array(d, pa.float64())], names=[*got.column_names, "_cell", "_blocks", "_dq"])
+                j = np.flatnonzero(~(d - radius > r + _SLACK * (d + radius)))
+                cells.append(cell[j])
+                blocks.append(block[j])
+                dist.append(d[j])
+                ends.append(ends[-1] + len(j))
+        got = rows if len(ends) > 1 else rows.slice(0, 0)
+        flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat(x, t)) for x, t in ((cells, pa.int32()), (blocks, pa.int32()), (dist, pa.float64()))]
+        return pa.table([*got.select(["_id", "_v", "_c", "_bound", "_part"]).columns, *lists], names=["_id", "_v", "_c", "_bound", "_group", "_cells", "_blocks", "_dqs"])
 
     cells = chosen.select("_c", "_cell", "_pv", "_parts").join(radii, ["_c", "_cell"])
     groups = bounded.join(sizes.select("_c", "_parts"), "_c").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     sent = groups.groupBy("_c", "_part").cogroup(_own(to_parts(cells)).groupBy("_c", "_part")).applyInArrow(
-        near_cells, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double, _cell int, _blocks int, _dq double")
+        near_cells, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double, _group int, _cells array<int>, _blocks array<int>, _dqs array<double>")
+    sent = sent.select("_id", "_v", "_c", "_bound", "_group", F.explode(F.arrays_zip("_cells", "_blocks", "_dqs")).alias("_n")).select(
+        "_id", "_v", "_c", "_bound", "_group", F.col("_n._cells").alias("_cell"), F.col("_n._blocks").alias("_blocks"), F.col("_n._dqs").alias("_dq"))
     sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
 
     def compared(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -136,7 +145,10 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
         kind = rows.schema.field("_id").type
         return pa.table([pa.array(ids, kind), pa.array(near, kind), pa.array(dist, pa.float64()), pa.array(count, pa.int64())], names=["_id", "nbr_id", "dist2", "compared"])
 
-    return _own(celled.select("_c", "_cell", "_part", "_id", "_v", "_dist")).groupBy("_c", "_cell", "_part").cogroup(sent.groupBy("_c", "_cell", "_part")).applyInArrow(
+    # a block meets one group of queries at a time
+    met = _own(celled.select("_c", "_cell", "_part", "_id", "_v", "_dist")).join(sizes.select("_c", F.col("_parts").alias("_groups")), "_c")
+    met = met.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
+    return met.groupBy("_c", "_cell", "_part", "_group").cogroup(sent.groupBy("_c", "_cell", "_part", "_group")).applyInArrow(
         compared, f"_id {id_type}, nbr_id {id_type}, dist2 double, compared long")
 
 

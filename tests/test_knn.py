@@ -121,3 +121,25 @@ def test_knn_of_classless_rows(spark):
     got = [(r.id, r.nbr_id) for r in bl.knn_within_class(df, "id", "vec", "label", 5).collect()]
     assert sorted(got) == [(3, 4), (4, 3)]
     assert bl.knn_within_class(df.where("false"), "id", "vec", "label", 5).collect() == []
+
+
+def test_blocks_and_groups_stay_small(spark, monkeypatch):
+    """No Python call of the search holds more rows than its target, whatever the class's
+    size and however many cells a query is compared with; the neighbours stay exact."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)], "a") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    real = PandasCogroupedOps.applyInArrow
+
+    def watched(self, func, schema):
+        def checked(left, right):
+            out = func(left, right)
+            assert left.num_rows <= 250 and right.num_rows <= 250 and out.num_rows <= 250 * 6, (func.__name__, left.num_rows, right.num_rows, out.num_rows)
+            return out
+        return real(self, checked, schema)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", watched)
+    got = {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=100).orderBy("id", "nbr_rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+    assert got == _brute(rows, 5)
