@@ -25,6 +25,7 @@ from tessera.operators.score import REQUEST_FEATURES, RESULT_PREFIX, validated
 
 MEDIA_SCHEMA = "path string, features array<double>, decode_ok boolean"
 PARTS = ("audio", "image")
+TABLE = "table:"
 
 
 def with_media(requests: DataFrame, media: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def with_media(requests: DataFrame, media: DataFrame) -> DataFrame:
     r = validated(requests)
     for part in PARTS:
         paths = r.where("err is null").select(F.col(f"{part}_path").alias("path")).distinct()
-        own = (media.join(paths, "path", "left_semi").groupBy(F.col("path").alias(f"{part}_path"))
+        own = (media.join(paths.hint("shuffle_hash"), "path", "left_semi").groupBy(F.col("path").alias(f"{part}_path"))
                .agg(F.max(F.struct("decode_ok", "features")).alias(part)))
         r = r.join(own, f"{part}_path", "left")
     return r
@@ -57,6 +58,23 @@ def answers(joined: DataFrame, pipeline: PipelineModel) -> DataFrame:
     return scored.select("id", "pred_label", F.concat(F.lit(RESULT_PREFIX), F.col("pred_label")).alias("result"))
 
 
+def deliver(rows: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Media rows (MEDIA_SCHEMA; features of any number type) added to a table
+    bucketed by path, a file per bucket.  Features are far wider than requests:
+    they are shuffled here once, as they come, and the batches join them in place."""
+    dealt = rows.select("path", "features", "decode_ok").repartition(buckets, "path").withColumn("features", F.col("features").cast("array<double>"))
+    dealt.write.mode("append").option("path", path).option("compression", "zstd").bucketBy(buckets, "path").format("parquet").saveAsTable(table)
+
+
+def read_media(spark: SparkSession, store: str) -> DataFrame:
+    """The media there now: ``store`` is a folder of Parquet files, or
+    ``table:`` and the name of a table that ``deliver`` fills."""
+    if not store.startswith(TABLE):
+        return spark.read.schema(MEDIA_SCHEMA).parquet(store)
+    spark.catalog.refreshTable(store.removeprefix(TABLE))
+    return spark.table(store.removeprefix(TABLE))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -69,11 +87,11 @@ def answer_batch(requests: DataFrame, number: int, schema, pipeline: str, media_
     before = f"{out}/waiting/batch={number - 1}"
     if number > 0 and _exists(spark, before):
         todo = todo.unionByName(spark.read.schema(todo.schema).parquet(before))
-    media = spark.read.schema(MEDIA_SCHEMA).parquet(media_dir)
+    media = read_media(spark, media_dir)
     absent = F.col("err").isNull() & (F.col("audio").isNull() | F.col("image").isNull())
     judged = with_media(todo, media).withColumns({"why": complaint(), "waits": absent & (F.lit(number) - F.col("asked") < max_wait)})
     work = f"{out}/work/batch={number}"
-    judged.write.mode("overwrite").parquet(work)                # computed once for three tables
+    judged.write.mode("overwrite").option("compression", "zstd").parquet(work)                # computed once for three tables
     judged = spark.read.schema(judged.schema).parquet(work)
     judged.where("waits").select(*todo.columns).write.mode("overwrite").parquet(f"{out}/waiting/batch={number}")
     done = judged.where("not waits")

@@ -90,3 +90,29 @@ def test_decoded_files(spark):
     assert {r.id: r.why for r in joined.select("id", intake.complaint().alias("why")).collect()} == {0: None, 1: None, 2: f"Inference Error: cannot decode {paths['a2.wav']}"}
     got = intake.answers(joined.where(intake.complaint().isNull()), PipelineModel.load(pipeline(spark, 5 + 13 + 1024))).collect()
     assert sorted(r.id for r in got) == [0, 1] and all(r.result.endswith(r.pred_label) for r in got)
+
+
+def test_media_table_is_joined_in_place(world):
+    """Features are shuffled when they are delivered, not by every batch; a later delivery is seen."""
+    spark, root, media, req, _ = world
+    name = "media_in_place_test"
+    intake.deliver(media.where("path != 'i2'"), name, f"{root}/table", 8)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = req.withColumn("asked", F.lit(0))
+        got = intake.with_media(todo, intake.read_media(spark, f"{intake.TABLE}{name}"))
+        rows = {r.id: r.why for r in got.select("id", intake.complaint().alias("why")).collect()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "features" in x and "audio_path" not in x]
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(path" in x]
+        scans = plan.split("== Initial Plan ==")[0].count("Bucketed: true")
+        assert scans == 2 and len(moved) <= 4                          # the requests' paths, in both plans
+        assert rows[2] == "Inference Error: no image at i2"
+        intake.deliver(media.where("path = 'i2'"), name, f"{root}/table", 8)
+        got = intake.with_media(todo, intake.read_media(spark, f"{intake.TABLE}{name}"))
+        old = intake.with_media(todo, media)
+        assert sorted(map(str, got.select("id", "audio", "image").collect())) == sorted(map(str, old.select("id", "audio", "image").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.sql(f"DROP TABLE {name}")
