@@ -8,13 +8,13 @@ lineage (split, scale, SMOTE) should not be replayed on executor loss.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as mt
+from tessera.operators.forest import Forest, load_model  # noqa: F401
 from tessera.operators.joins import broadcast_checked
 from tessera.operators.prep import _bounded_collect
 
@@ -34,10 +34,9 @@ def logistic(n_train: int, max_iter: int = 1000) -> LogisticRegression:
                               standardization=False, family="multinomial", tol=1e-6)
 
 
-def forest(num_trees: int = 100, max_depth: int = 30, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
-                                  seed=seed, maxBins=64, maxMemoryInMB=1024, cacheNodeIds=True,
-                                  checkpointInterval=10)
+def forest(num_trees: int = 100, max_depth: int = 30, seed: int = 42) -> Forest:
+    return Forest(numTrees=num_trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed, maxBins=64,
+                  maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 
 def boosted(max_iter: int = 100, max_depth: int = 6, step: float = 0.3, seed: int = 42,
