@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -93,7 +92,7 @@ def q_load_model(spark, sf):
     p = _cls(spark, sf)
     model, _ = ev.fit_score("forest", p)
     path = sinks.save_model(model, scratch_path(spark, "forest-model"))
-    loaded = RandomForestClassificationModel.load(path)
+    loaded = tr.load_model(path)
     return tr.decoded(tr.predict(loaded, p.test), p.index).select("y_true", "y_pred", "pred_idx")
 
 
