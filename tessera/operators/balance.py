@@ -11,10 +11,12 @@ exactly.  No cap on candidates.  On classes that are isotropic in many dimension
 the k-th neighbour is nearly as far as a typical point, and every exact method
 compares nearly all pairs; ``pairs_compared`` gives the share.
 
-Cells are dealt to blocks of about ``cell_target`` rows and queries to groups of
-the same size, and a block meets a group at a time, so no task holds more of
-either; pivots are a bounded number of
-rows per class and meet the rows by a shuffle.  Rows without a class have no
+Cells share blocks of about ``cell_target`` rows (a larger cell is cut) and queries
+are dealt to groups of the same size; a query is sent once to a block, however many
+of its cells are near, and a block meets a group at a time, so no task holds more of
+either.  Distances first come from matrix products; the pairs that may be among the
+nearest within their rounding are compared exactly, by sums in array order.  Pivots are
+a bounded number of rows per class and meet the rows by a shuffle.  Rows without a class have no
 neighbours.
 """
 
@@ -31,6 +33,9 @@ from tessera.session import materialize, ship_package
 from tessera.operators.prep import _bounded_collect
 
 _SLACK = 1e-9            # of the distances compared: far above the rounding of their sums
+_CHUNK = 256             # queries compared at once
+_MANY = 32               # candidates of a query in a cell, from which its bound is lowered
+_LARGE = 1 << 32         # block ids of a cell of many rows: its number times this, and a part of it
 
 
 def _vectors(table: pa.Table, column: str) -> np.ndarray:
@@ -39,23 +44,66 @@ def _vectors(table: pa.Table, column: str) -> np.ndarray:
 
 
 def _sq_dists(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances of the rows of ``x`` to ``q``, summed in array order."""
-    out = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        d = x[:, j] - q[j]
-        out += d * d
+    """Squared distances of every row of ``x`` (columns in rows: features x rows)
+    to every row of ``q`` (likewise), summed in array order: queries x rows."""
+    out = np.zeros((q.shape[1], x.shape[1]))
+    for a, b in zip(x, q):
+        d = a[None, :] - b[:, None]
+        d *= d
+        out += d
     return out
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.T)
+
+
+def _near_sq(x: np.ndarray, xx: np.ndarray, q: np.ndarray, qq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances by a matrix product, for every query a bound of what they
+    and sums in array order differ by)."""
+    d = q @ x.T
+    d *= -2
+    d += xx
+    d += qq[:, None]
+    return d, 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(xx.max())) ** 2
+
+
+def _nearest(x: np.ndarray, rank: np.ndarray, own: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray, error: np.ndarray,
+             k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, squared distance) of the ``k`` nearest rows of every query, the
+    smaller ``rank`` first at equal distance, among the pairs (i, j) of a distance
+    ``near``, which is right to ``error`` of the query.  ``own``: the query's own row or -1."""
+    order = np.lexsort((near, i))
+    i, j, near = i[order], j[order], near[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    last = np.minimum(first + k, np.searchsorted(i, np.arange(len(q)), "right") - 1)         # the (k + 1)-th: the query's own row may be there
+    limit = np.where(last >= first, near[np.maximum(last, 0)] if len(near) else 0.0, 0.0) + 2 * error
+    keep = (near <= limit[i]) & (j != own[i])
+    i, j = i[keep], j[keep]
+    dist = np.zeros(len(i))
+    for a in range(0, len(i), 1 << 14):
+        d = _turned(x[j[a:a + (1 << 14)]]) - _turned(q[i[a:a + (1 << 14)]])
+        for c in d:
+            dist[a:a + (1 << 14)] += c * c
+    order = np.lexsort((rank[j], dist, i))
+    i, j, dist = i[order], j[order], dist[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+    return i[keep], j[keep], dist[keep]
+
+
 def _own(df: DataFrame) -> DataFrame:
     """``df`` under column references of its own: both sides of a cogroup come from one table here."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _dealt(rows: DataFrame, by: list[str], target: int, out: str) -> DataFrame:
-    """``out``: a part of each group of ``by``, of about ``target`` rows, by a hash of the id."""
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / target).cast("int").alias("_parts"))
-    return rows.join(sizes, by).withColumn(out, F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+def _dealt(rows: DataFrame, target: int) -> DataFrame:
+    """``_block``: cells of few rows share blocks of about ``target`` rows, a cell of more is cut by a hash of the id."""
+    sizes = rows.groupBy("_c", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / target))
+    before = Window.partitionBy("_c").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)              # at most ``pivots`` cells
+    few = F.coalesce(F.sum(F.when(F.col("_parts") == 1, F.col("_n"))).over(before), F.lit(0))
+    sizes = sizes.withColumn("_shared", -1 - F.floor(few / target)).drop("_n")
+    part = F.col("_cell") * F.lit(_LARGE) + F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    return rows.join(sizes, ["_c", "_cell"]).withColumn("_block", F.when(F.col("_parts") == 1, F.col("_shared")).otherwise(part).cast("long")).drop("_parts", "_shared")
 
 
 def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_target: int) -> DataFrame:
@@ -72,83 +120,129 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
     to_parts = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def nearest_pivot(rows: pa.Table, piv: pa.Table) -> pa.Table:
-        x, p, cells = _vectors(rows, "_v"), _vectors(piv, "_pv"), piv.column("_cell").to_numpy()
-        best, cell = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
-        for v, c in zip(p, cells):
-            d = _sq_dists(x, v)
-            near = d < best
-            best[near], cell[near] = d[near], c
+        x, p, cells = _turned(_vectors(rows, "_v")), _turned(_vectors(piv, "_pv")), piv.column("_cell").to_numpy()
+        best, cell = np.full(x.shape[1], np.inf), np.zeros(x.shape[1], np.int32)
+        for a in range(0, len(best), 4 * _CHUNK):
+            part = slice(a, a + 4 * _CHUNK)
+            for d, c in zip(_sq_dists(x[:, part], p), cells):
+                near = d < best[part]
+                best[part][near], cell[part][near] = d[near], c
         return rows.select(["_id", "_v", "_c"]).append_column("_cell", pa.array(cell, pa.int32())).append_column("_dist", pa.array(np.sqrt(best)))
 
     dealt = _own(cand).join(sizes.select("_c", "_parts"), "_c").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     v_type = "array<double>"
     celled = dealt.groupBy("_c", "_part").cogroup(_own(to_parts(chosen)).groupBy("_c", "_part")).applyInArrow(
         nearest_pivot, f"_id {id_type}, _v {v_type}, _c {c_type}, _cell int, _dist double")
-    celled = materialize(_dealt(materialize(celled), ["_c", "_cell"], cell_target, "_part"))
-    radii = celled.groupBy("_c", "_cell").agg(F.max("_dist").alias("_radius"), F.max("_parts").alias("_blocks"))
+    celled = materialize(_dealt(materialize(celled), cell_target))
+    radii = celled.groupBy("_c", "_cell", "_block").agg(F.max("_dist").alias("_radius"))
 
     def own_bound(rows: pa.Table) -> pa.Table:
         x, asked = _vectors(rows, "_v"), np.flatnonzero(rows.column("_asked").to_numpy(zero_copy_only=False))
         bound = np.full(len(asked), np.inf)
-        for n, i in enumerate(asked):
-            if len(x) > k:
-                bound[n] = np.sqrt(np.partition(_sq_dists(x, x[i]), k)[k])          # the row itself is among them
+        xx = (x * x).sum(1)
+        each = max(1, min(_CHUNK, (1 << 22) // len(x)))
+        for a in range(0, len(asked) if len(x) > k else 0, each):
+            i = asked[a:a + each]
+            d, error = _near_sq(x, xx, x[i], xx[i])
+            bound[a:a + each] = np.sqrt(np.maximum(np.partition(d, k, 1)[:, k], 0) + error)            # the row itself is among them
         return rows.select(["_id", "_v", "_c"]).take(pa.array(asked)).append_column("_bound", pa.array(bound))
 
     asked = queries.select("_id").distinct().withColumn("_asked", F.lit(True))
     marked = celled.join(asked, "_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
-    bounded = materialize(marked.groupBy("_c", "_cell", "_part").applyInArrow(own_bound, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double"))
+    bounded = materialize(marked.groupBy("_c", "_cell", "_block").applyInArrow(own_bound, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double"))
 
     def near_cells(rows: pa.Table, piv: pa.Table) -> pa.Table:
-        """Every query once, with its cells as a list: the copies of its vector are made row by row after this."""
-        cells, blocks, dist, ends = [], [], [], [0]
+        """Every query once, with its blocks and their cells as a list: the copies of its vector are made row by row after this."""
+        ends, inner, blocks, cells, dist = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], [], []
         if rows.num_rows and piv.num_rows:
-            p, radius = _vectors(piv, "_pv"), piv.column("_radius").to_numpy()
-            cell, block = piv.column("_cell").to_numpy(), piv.column("_blocks").to_numpy()
-            for q, r in zip(_vectors(rows, "_v"), rows.column("_bound").to_numpy()):
-                d = np.sqrt(_sq_dists(p, q))
-                j = np.flatnonzero(~(d - radius > r + _SLACK * (d + radius)))
+            piv = piv.sort_by([("_block", "ascending"), ("_cell", "ascending")])
+            p, radius, bound = _turned(_vectors(piv, "_pv")), piv.column("_radius").to_numpy(), rows.column("_bound").to_numpy()
+            cell, block, q = piv.column("_cell").to_numpy(), piv.column("_block").to_numpy(), _turned(_vectors(rows, "_v"))
+            for a in range(0, len(bound), _CHUNK):
+                r = bound[a:a + _CHUNK, None]
+                d = np.sqrt(_sq_dists(p, q[:, a:a + _CHUNK]))
+                i, j = np.nonzero(~(d - radius > r + _SLACK * (d + radius)))
+                new = np.flatnonzero(np.diff(i, prepend=-1) | (np.diff(block[j], prepend=0) != 0))      # a query's next block begins
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(i[new], minlength=len(r))))
+                inner.append(inner[-1][-1] + np.append(new, len(i))[1:])
+                blocks.append(block[j[new]])
                 cells.append(cell[j])
-                blocks.append(block[j])
-                dist.append(d[j])
-                ends.append(ends[-1] + len(j))
+                dist.append(d[i, j])
+        ends, inner = (np.concatenate(x).astype(np.int32) for x in (ends, inner))
         got = rows if len(ends) > 1 else rows.slice(0, 0)
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat(x, t)) for x, t in ((cells, pa.int32()), (blocks, pa.int32()), (dist, pa.float64()))]
-        return pa.table([*got.select(["_id", "_v", "_c", "_bound", "_part"]).columns, *lists], names=["_id", "_v", "_c", "_bound", "_group", "_cells", "_blocks", "_dqs"])
+        lists = [pa.ListArray.from_arrays(pa.array(inner), flat(x, t)) for x, t in ((cells, pa.int32()), (dist, pa.float64()))]
+        sent = pa.StructArray.from_arrays([flat(blocks, pa.int64()), *lists], names=["block", "cells", "dqs"])
+        return pa.table([*got.select(["_id", "_v", "_c", "_bound", "_part"]).columns, pa.ListArray.from_arrays(pa.array(ends), sent)], names=["_id", "_v", "_c", "_bound", "_group", "_to"])
 
     cells = chosen.select("_c", "_cell", "_pv", "_parts").join(radii, ["_c", "_cell"])
     groups = bounded.join(sizes.select("_c", "_parts"), "_c").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     sent = groups.groupBy("_c", "_part").cogroup(_own(to_parts(cells)).groupBy("_c", "_part")).applyInArrow(
-        near_cells, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double, _group int, _cells array<int>, _blocks array<int>, _dqs array<double>")
-    sent = sent.select("_id", "_v", "_c", "_bound", "_group", F.explode(F.arrays_zip("_cells", "_blocks", "_dqs")).alias("_n")).select(
-        "_id", "_v", "_c", "_bound", "_group", F.col("_n._cells").alias("_cell"), F.col("_n._blocks").alias("_blocks"), F.col("_n._dqs").alias("_dq"))
-    sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        near_cells, f"_id {id_type}, _v {v_type}, _c {c_type}, _bound double, _group int, _to array<struct<block: bigint, cells: array<int>, dqs: array<double>>>")
+    sent = sent.select("_id", "_v", "_c", "_bound", "_group", F.explode("_to").alias("_n")).select(
+        "_id", "_v", "_c", "_bound", "_group", F.col("_n.block").alias("_block"), F.col("_n.cells").alias("_cells"), F.col("_n.dqs").alias("_dqs"))
 
     def compared(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, near, dist, count = [], [], [], []
+        """The k nearest rows of the block of every query, found among its cells there
+        by distances from matrix products and then by exact ones."""
+        found, count = [], np.zeros(asked.num_rows, np.int64)
         if rows.num_rows and asked.num_rows:
-            from_pivot = rows.column("_dist").to_numpy()
-            order = np.argsort(from_pivot, kind="stable")
-            from_pivot, x = from_pivot[order], _vectors(rows, "_v")[order]
-            names = rows.column("_id").take(pa.array(order)).to_pylist()
-            for name, q, r, dq in zip(asked.column("_id").to_pylist(), _vectors(asked, "_v"), asked.column("_bound").to_numpy(), asked.column("_dq").to_numpy()):
-                slack = r + _SLACK * (dq + (from_pivot[-1] if len(from_pivot) else 0.0))
-                lo, hi = np.searchsorted(from_pivot, dq - slack, "left"), np.searchsorted(from_pivot, dq + slack, "right")
-                d = _sq_dists(x[lo:hi], q)
-                at = np.arange(len(d)) if len(d) <= k + 1 else np.flatnonzero(d <= np.partition(d, k)[k])
-                best = sorted((d[i], names[lo + i]) for i in at if names[lo + i] != name)[:k]
-                ids += [name] * (len(best) + 1)
-                near += [b for _, b in best] + [None]
-                dist += [a for a, _ in best] + [None]
-                count += [None] * len(best) + [hi - lo]
-        kind = rows.schema.field("_id").type
-        return pa.table([pa.array(ids, kind), pa.array(near, kind), pa.array(dist, pa.float64()), pa.array(count, pa.int64())], names=["_id", "nbr_id", "dist2", "compared"])
+            order = np.lexsort((rows.column("_dist").to_numpy(), rows.column("_cell").to_numpy()))
+            rows = rows.take(pa.array(order))
+            x, cell, from_pivot = _vectors(rows, "_v"), rows.column("_cell").to_numpy(), rows.column("_dist").to_numpy()
+            names, askers = rows.column("_id").to_pylist(), asked.column("_id").to_pylist()
+            rank, at = np.empty(len(names), np.int64), {n: i for i, n in enumerate(names)}
+            rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            own = np.array([at.get(n, -1) for n in askers])
+            xx, own_cells = (x * x).sum(1), np.unique(cell)
+            begins, ends = np.searchsorted(cell, own_cells), np.searchsorted(cell, own_cells, "right")
+            q, bound = _vectors(asked, "_v"), asked.column("_bound").to_numpy()
+            lists = asked.column("_cells").combine_chunks()
+            dq = np.full((len(q), len(own_cells)), np.inf)              # to the pivots of the cells to look at
+            look = np.zeros(dq.shape, bool)
+            of = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False)), np.searchsorted(own_cells, lists.flatten().to_numpy())
+            dq[of], look[of] = asked.column("_dqs").combine_chunks().flatten().to_numpy(), True
+            turn = np.lexsort((dq.min(1), dq.argmin(1)))
+            for a in range(0, len(q), _CHUNK):
+                chunk = turn[a:a + _CHUNK]
+                v, vv, r = q[chunk], (q[chunk] * q[chunk]).sum(1), bound[chunk].copy()
+                error = np.zeros(len(chunk))
+                pairs = []
+                for c in np.argsort(dq[chunk].min(0)):                  # near cells first: they lower the bounds
+                    some = np.flatnonzero(look[chunk, c])
+                    if not len(some):
+                        continue
+                    to, here = dq[chunk[some], c], from_pivot[begins[c]:ends[c]]
+                    slack = r[some] + _SLACK * (to + here[-1])
+                    lo, hi = np.searchsorted(here, to - slack, "left").min(), np.searchsorted(here, to + slack, "right").max()
+                    if lo >= hi:
+                        continue
+                    lo, hi = begins[c] + lo, begins[c] + hi
+                    d, e = _near_sq(x[lo:hi], xx[lo:hi], v[some], vv[some])
+                    error[some] = np.maximum(error[some], e)
+                    count[chunk[some]] += hi - lo
+                    limit = r[some] * r[some] * (1 + _SLACK) + e
+                    i, j = np.nonzero(d <= limit[:, None])
+                    if len(i) > _MANY * len(some) and hi - lo > k:
+                        limit = np.minimum(limit, np.maximum(np.partition(d, k, 1)[:, k], 0) + 2 * e)
+                        r[some] = np.minimum(r[some], np.sqrt(limit))
+                        i, j = np.nonzero(d <= limit[:, None])
+                    pairs.append((some[i], lo + j, d[i, j]))
+                if pairs:
+                    i, j, dist = _nearest(x, rank, own[chunk], v, *(np.concatenate(t) for t in zip(*pairs)), error, k)
+                    found.append((chunk[i], j, dist))
+        i, j, dist = (np.concatenate(t) for t in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ids, kind = asked.column("_id").combine_chunks(), rows.schema.field("_id").type
+        if not rows.num_rows:
+            ids = ids.slice(0, 0)
+        return pa.table([pa.chunked_array([ids.take(pa.array(i)), ids], kind), pa.chunked_array([rows.column("_id").combine_chunks().take(pa.array(j)), pa.nulls(len(ids), kind)], kind),
+                         pa.chunked_array([pa.array(dist), pa.nulls(len(ids), pa.float64())]), pa.chunked_array([pa.nulls(len(i), pa.int64()), pa.array(count[:len(ids)])])],
+                        names=["_id", "nbr_id", "dist2", "compared"])
 
     # a block meets one group of queries at a time
-    met = _own(celled.select("_c", "_cell", "_part", "_id", "_v", "_dist")).join(sizes.select("_c", F.col("_parts").alias("_groups")), "_c")
+    met = _own(celled.select("_c", "_cell", "_block", "_id", "_v", "_dist")).join(sizes.select("_c", F.col("_parts").alias("_groups")), "_c")
     met = met.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
-    return met.groupBy("_c", "_cell", "_part", "_group").cogroup(sent.groupBy("_c", "_cell", "_part", "_group")).applyInArrow(
+    return met.groupBy("_c", "_block", "_group").cogroup(sent.groupBy("_c", "_block", "_group")).applyInArrow(
         compared, f"_id {id_type}, nbr_id {id_type}, dist2 double, compared long")
 
 

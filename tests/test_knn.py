@@ -143,3 +143,32 @@ def test_blocks_and_groups_stay_small(spark, monkeypatch):
     for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=100).orderBy("id", "nbr_rank").collect():
         got.setdefault(r.id, []).append(r.nbr_id)
     assert got == _brute(rows, 5)
+
+
+def test_a_query_is_sent_once_to_a_block(spark):
+    """A query goes to a block of cells once, not to each of its cells, also where nothing can be ruled out."""
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(24)], "a") for i in range(900)]
+    cand = spark.createDataFrame(rows, "_id long, _v array<double>, _c string")
+    sent = bl._pivot_pairs(cand, cand, 5, 64, 300).where("nbr_id is null").groupBy("_id").count().collect()
+    assert len(sent) == 900 and max(r["count"] for r in sent) <= 900 // 300 + 1
+
+
+def test_knn_is_exact_far_from_the_origin(spark):
+    """Matrix products lose the digits of distances that are small beside the vectors;
+    neighbours and distances are those of sums in array order all the same."""
+    rnd = random.Random(10)
+    rows = [(i, [1e6 + rnd.randint(-3, 3) * 1e-3 for _ in range(4)] + [rnd.gauss(0, 1e-4)], "ab"[i % 2]) for i in range(500)]
+    rows += [(1000 + i, [float("nan"), *rows[i][1][1:]], "a") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string").repartition(3)
+    got, dist = {}, {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=60).orderBy("id", "nbr_rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+        dist[r.id, r.nbr_id] = r.dist2
+    assert got == _brute(rows[:500], 5)
+    by_id = {i: v for i, v, _ in rows}
+    for (i, j), d in dist.items():
+        want = 0.0
+        for a, b in zip(by_id[i], by_id[j]):
+            want = want + (a - b) * (a - b)
+        assert d == want
