@@ -6,6 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassi
 from pyspark.sql import functions as F
 
 from tessera.operators import forest as fo, train as tr
+from tessera.plans import evaluation as ev
 from tessera.session import materialize, scratch_path
 from tessera.sources import sinks
 
@@ -94,3 +95,33 @@ def test_small_nodes_split_as_by_statistics():
         pad = min(p for p in fo.PADS if p >= n)
         b = fo._split_small(x, y, w, np.minimum(np.arange(pad), n - 1)[None], np.array([n]), subsets, total)
         assert all(np.allclose(p, q) for p, q in zip(a, b))
+
+
+def _prepared(spark):
+    labels = ["a", "b", "c"]
+    index = spark.createDataFrame(list(zip(labels, range(3))), "label string, idx int")
+    return ev.Prepared(_rows(spark, 2600), _rows(spark, 400, seed=2), index, 8, 3)
+
+
+def _no_forest_in_the_driver(monkeypatch):
+    def fit(*_):
+        raise AssertionError("a forest of this size in the driver")
+    monkeypatch.setattr(RandomForestClassifier, "_fit", fit)
+
+
+def test_models_are_compared_without_a_forest_in_the_driver(spark, monkeypatch):
+    _no_forest_in_the_driver(monkeypatch)
+    got = {r["model"]: r for r in ev.compare_models(_prepared(spark), {"logistic": {}, "forest": {}}).collect()}
+    assert set(got) == {"logistic", "forest"} and {r["n"] for r in got.values()} == {400}
+    assert got["forest"]["accuracy"] > got["logistic"]["accuracy"]
+
+
+def test_importances_without_a_forest_in_the_driver(spark, monkeypatch):
+    p = _prepared(spark)
+    want = tr.feature_importances(RandomForestClassifier(numTrees=30, featureSubsetStrategy="sqrt", maxDepth=30, seed=42, maxBins=64).fit(p.train))
+    _no_forest_in_the_driver(monkeypatch)
+    model, _ = ev.fit_score("forest", p)
+    got = tr.importance_frame(spark, tr.feature_importances(model)).collect()
+    assert [r["feature"] for r in got] == list(range(8))
+    assert max(abs(r["importance"] - w) for r, w in zip(got, want)) < 0.08
+    assert {r["feature"] for r in sorted(got, key=lambda r: -r["importance"])[:4]} == {0, 1, 2, 3}
