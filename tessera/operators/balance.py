@@ -68,17 +68,16 @@ def _near_sq(x: np.ndarray, xx: np.ndarray, q: np.ndarray, qq: np.ndarray) -> tu
     return d, 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(xx.max())) ** 2
 
 
-def _nearest(x: np.ndarray, rank: np.ndarray, own: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray, error: np.ndarray,
-             k: int) -> tuple[np.ndarray, ...]:
+def _nearest(x: np.ndarray, rank: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray, error: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query, row, squared distance) of the ``k`` nearest rows of every query, the
     smaller ``rank`` first at equal distance, among the pairs (i, j) of a distance
-    ``near``, which is right to ``error`` of the query.  ``own``: the query's own row or -1."""
+    ``near``, which is right to ``error`` of the query."""
     order = np.lexsort((near, i))
     i, j, near = i[order], j[order], near[order]
-    first = np.searchsorted(i, np.arange(len(q)))
-    last = np.minimum(first + k, np.searchsorted(i, np.arange(len(q)), "right") - 1)         # the (k + 1)-th: the query's own row may be there
+    first, after = (np.searchsorted(i, np.arange(len(q)), side) for side in ("left", "right"))
+    last = np.minimum(first + k, after) - 1
     limit = np.where(last >= first, near[np.maximum(last, 0)] if len(near) else 0.0, 0.0) + 2 * error
-    keep = (near <= limit[i]) & (j != own[i])
+    keep = near <= limit[i]
     i, j = i[keep], j[keep]
     dist = np.zeros(len(i))
     for a in range(0, len(i), 1 << 14):
@@ -91,6 +90,12 @@ def _nearest(x: np.ndarray, rank: np.ndarray, own: np.ndarray, q: np.ndarray, i:
     return i[keep], j[keep], dist[keep]
 
 
+def _numbered(ids: list) -> np.ndarray:
+    """The place of every id in their order; rows may share one."""
+    at = {n: i for i, n in enumerate(sorted(set(ids)))}
+    return np.array([at[n] for n in ids], np.int64)
+
+
 def _own(df: DataFrame) -> DataFrame:
     """``df`` under column references of its own: both sides of a cogroup come from one table here."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -139,12 +144,13 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
     def own_bound(rows: pa.Table) -> pa.Table:
         x, asked = _vectors(rows, "_v"), np.flatnonzero(rows.column("_asked").to_numpy(zero_copy_only=False))
         bound = np.full(len(asked), np.inf)
-        xx = (x * x).sum(1)
+        xx, ids = (x * x).sum(1), _numbered(rows.column("_id").to_pylist())
         each = max(1, min(_CHUNK, (1 << 22) // len(x)))
         for a in range(0, len(asked) if len(x) > k else 0, each):
             i = asked[a:a + each]
             d, error = _near_sq(x, xx, x[i], xx[i])
-            bound[a:a + each] = np.sqrt(np.maximum(np.partition(d, k, 1)[:, k], 0) + error)            # the row itself is among them
+            d[ids == ids[i][:, None]] = np.inf
+            bound[a:a + each] = np.sqrt(np.maximum(np.partition(d, k - 1, 1)[:, k - 1], 0) + error)
         return rows.select(["_id", "_v", "_c"]).take(pa.array(asked)).append_column("_bound", pa.array(bound))
 
     asked = queries.select("_id").distinct().withColumn("_asked", F.lit(True))
@@ -191,8 +197,8 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
             rows = rows.take(pa.array(order))
             x, cell, from_pivot = _vectors(rows, "_v"), rows.column("_cell").to_numpy(), rows.column("_dist").to_numpy()
             names, askers = rows.column("_id").to_pylist(), asked.column("_id").to_pylist()
-            rank, at = np.empty(len(names), np.int64), {n: i for i, n in enumerate(names)}
-            rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            rank = _numbered(names)
+            at = dict(zip(names, rank.tolist()))
             own = np.array([at.get(n, -1) for n in askers])
             xx, own_cells = (x * x).sum(1), np.unique(cell)
             begins, ends = np.searchsorted(cell, own_cells), np.searchsorted(cell, own_cells, "right")
@@ -224,12 +230,15 @@ def _pivot_pairs(cand: DataFrame, queries: DataFrame, k: int, pivots: int, cell_
                     limit = r[some] * r[some] * (1 + _SLACK) + e
                     i, j = np.nonzero(d <= limit[:, None])
                     if len(i) > _MANY * len(some) and hi - lo > k:
-                        limit = np.minimum(limit, np.maximum(np.partition(d, k, 1)[:, k], 0) + 2 * e)
+                        d[rank[lo:hi] == own[chunk[some]][:, None]] = np.inf
+                        limit = np.minimum(limit, np.maximum(np.partition(d, k - 1, 1)[:, k - 1], 0) + 2 * e)
                         r[some] = np.minimum(r[some], np.sqrt(limit))
                         i, j = np.nonzero(d <= limit[:, None])
+                    other = rank[lo + j] != own[chunk[some[i]]]
+                    i, j = i[other], j[other]
                     pairs.append((some[i], lo + j, d[i, j]))
                 if pairs:
-                    i, j, dist = _nearest(x, rank, own[chunk], v, *(np.concatenate(t) for t in zip(*pairs)), error, k)
+                    i, j, dist = _nearest(x, rank, v, *(np.concatenate(t) for t in zip(*pairs)), error, k)
                     found.append((chunk[i], j, dist))
         i, j, dist = (np.concatenate(t) for t in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         ids, kind = asked.column("_id").combine_chunks(), rows.schema.field("_id").type

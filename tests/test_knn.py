@@ -172,3 +172,17 @@ def test_knn_is_exact_far_from_the_origin(spark):
         for a, b in zip(by_id[i], by_id[j]):
             want = want + (a - b) * (a - b)
         assert d == want
+
+
+def test_rows_that_share_an_id_are_no_neighbours(spark):
+    """The nearest rows of other ids, however many rows have the query's."""
+    rnd = random.Random(11)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)], "a") for i in range(120)]
+    copies = [r for r in rows[::7] for _ in range(rows.index(r) % 6)]
+    df = spark.createDataFrame(rows + copies, "id long, vec array<double>, label string").repartition(3)
+    exp, got = _brute(rows, 5), {}
+    for r in bl.knn_within_class(df, "id", "vec", "label", 5, cell_target=50).collect():
+        assert r.nbr_id != r.id
+        got.setdefault(r.id, set()).add(r.nbr_id)
+    # every copy of a neighbour or of a query counts as a rank
+    assert all(v and v == set(exp[i][:len(v)]) for i, v in got.items()) and set(got) == set(range(120))
